@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality_rules, sharding, simhash
+from . import decontaminate, language_id, language_model, mixing, quality_knn, quality_rules, sharding, simhash, token_files
+from ._shared import scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +31,31 @@ def op3_sketch_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _remainder(column: str, divisor: int) -> Column:
+    """crc32 of the id as text, modulo ``divisor``; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % divisor, F.lit(-1))
+
+
+def op4_viterbi_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", _remainder("doc_id", 5) == 0)
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model, with_spans=False).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = scratch(spark, "tokens")
+    token_files.write_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), out, end_id=2)
+    return token_files.read_tokens(spark, out)
+
+
+def op7_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _remainder("doc_id", 7) == 2)
+    out = language_model.score(docs, docs.where(~F.col("held_out")))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "block", "weight", "slot", "seq")
 
@@ -39,6 +65,13 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_decontamination, op2_histogram_sort_shards, op3_sketch_quality_rules, op8_pfair_mix, op9_simhash_components)}
+def op10_latent_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _remainder("doc_id", 5) == 0)
+    labels = _read(spark, sf_dir, "labels").where(_remainder("doc_id", 5) != 0)
+    out = quality_knn.score(docs, quality_knn.fit(docs.where(~F.col("held_out")), labels))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_decontamination, op2_histogram_sort_shards, op3_sketch_quality_rules, op4_viterbi_language_id, op6_token_files, op7_bloom_language_model, op8_pfair_mix, op9_simhash_components, op10_latent_neighbour_quality)}
 
 ORACLE: dict[str, str] = {}
