@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, language_model, mixing, quality_knn, quality_rules, sharding, simhash, token_files
+from . import decontaminate, language_id, language_model, mixing, quality_knn, quality_rules, sharding, simhash, substring_dedup, token_files
 from ._shared import scratch
 
 
@@ -42,6 +42,11 @@ def op4_viterbi_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model, with_spans=False).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), with_text=False)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,6 +77,6 @@ def op10_latent_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_decontamination, op2_histogram_sort_shards, op3_sketch_quality_rules, op4_viterbi_language_id, op6_token_files, op7_bloom_language_model, op8_pfair_mix, op9_simhash_components, op10_latent_neighbour_quality)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_decontamination, op2_histogram_sort_shards, op3_sketch_quality_rules, op4_viterbi_language_id, op5_suffix_array_dedup, op6_token_files, op7_bloom_language_model, op8_pfair_mix, op9_simhash_components, op10_latent_neighbour_quality)}
 
 ORACLE: dict[str, str] = {}
