@@ -105,7 +105,7 @@ def louvain_terms(links: DataFrame) -> DataFrame:
         com = leiden(len(ids), e[: len(t)], e[len(t) :], t["weight"].to_numpy(float))
         return pd.DataFrame({"term": ids.astype(object), "theme": com})
 
-    return links.groupBy(F.lit(0)).applyInPandas(run, "term string, theme bigint")
+    return links.groupBy().applyInPandas(run, "term string, theme bigint")
 
 
 def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def positions(table: DataFrame, dims: int = 2) -> DataFrame:
                 out.append(pd.DataFrame({"side": side, "actor_id": ids, "dim": k + 1, "score": x, "diag": d}))
         return pd.concat(out)
 
-    return table.groupBy(F.lit(0)).applyInPandas(run, _SCHEMA)
+    return table.groupBy().applyInPandas(run, _SCHEMA)
 
 
 def per_actor(scores: DataFrame) -> DataFrame:

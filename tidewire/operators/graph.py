@@ -109,7 +109,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("window_start", F.col("b").alias("u")).agg(F.min("a").alias("m"))
         small = large.withColumnRenamed("b", "u").join(low, ["window_start", "u"])
         e = staged(small.where("m <> a").select("window_start", F.col("a").alias("b"), F.col("m").alias("a")).union(low.select("window_start", F.col("u"), F.col("m"))).distinct(), "cc")
-        now = e.agg(F.count(F.lit(1)), F.sum("a"), F.sum("b")).first()
+        now = e.agg(F.count(F.lit(1)), *[F.sum(F.col(c).cast("decimal(38,0)")) for c in "ab"]).first()
         if now == before:
             break
         before = now

@@ -36,7 +36,7 @@ def layout(links: DataFrame) -> DataFrame:
         p = spring_layout(len(ids), e[: len(t)], e[len(t) :])
         return pd.DataFrame({"actor_id": ids, "x": p[:, 0], "y": p[:, 1]})
 
-    return links.select("a", "b").orderBy("a", "b").groupBy(F.lit(0)).applyInPandas(run, "actor_id bigint, x double, y double")
+    return links.select("a", "b").orderBy("a", "b").groupBy().applyInPandas(run, "actor_id bigint, x double, y double")
 
 
 def cut_vertices(n: int, a: list[int], b: list[int]) -> set[int]:
@@ -91,5 +91,5 @@ def bridges(links: DataFrame, partition: DataFrame, top: int = 3) -> DataFrame:
         cut = cut_vertices(n, x.tolist(), y.tolist())
         return pd.DataFrame({"actor_id": ids, "outside": outside, "outside_share": outside / np.maximum(all_, 1e-12), "articulation": [i in cut for i in range(n)]})
 
-    got = both.groupBy(F.lit(0)).applyInPandas(run, "actor_id bigint, outside double, outside_share double, articulation boolean")
+    got = both.groupBy().applyInPandas(run, "actor_id bigint, outside double, outside_share double, articulation boolean")
     return got.where("outside > 0").orderBy(F.desc("articulation"), F.desc("outside"), "actor_id").limit(top)
