@@ -42,7 +42,7 @@ def pieces(keys: np.ndarray, counts: np.ndarray, bits: int, buckets: int) -> Ite
     shift = U64(bits - int(buckets).bit_length() + 1)
     b = (keys >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
     cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, int)
-    for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(b)], strict=True):
+    for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(b)][: len(cut)], strict=True):
         yield int(b[x]), pack_keys(keys[x:y]), pack(counts[x:y].astype(np.uint32))
 
 

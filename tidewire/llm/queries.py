@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, language_model, mixing, quality_knn, quality_rules, sharding, simhash, substring_dedup, token_files
+from . import decontaminate, language_id, language_model, mixing, quality_knn, quality_rules, sharding, simhash, substring_dedup, token_files, twins
 from ._shared import scratch
 
 
@@ -79,4 +79,4 @@ def op10_latent_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array_decontamination, op2_histogram_sort_shards, op3_sketch_quality_rules, op4_viterbi_language_id, op5_suffix_array_dedup, op6_token_files, op7_bloom_language_model, op8_pfair_mix, op9_simhash_components, op10_latent_neighbour_quality)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_suffix_array_decontamination": twins.OP1, "op3_sketch_quality_rules": twins.OP3}
