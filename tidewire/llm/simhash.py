@@ -140,6 +140,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+#: A part with more variants to probe than this is never chosen.
+MOST_PROBES = 4096
+
+
+def _probes(bits: int, t: int) -> float:
+    n = sum(math.comb(bits, j) for j in range(t + 1))
+    return float(n) if n <= MOST_PROBES else 1e12
+
+
 def plan(fps: DataFrame, distance: int) -> tuple[list[list[int]], list[int]]:
     """The grouping of bits and the thresholds of least estimated work, over 1 to distance + 1 parts."""
     n, both = _bit_statistics(fps)
@@ -153,8 +162,8 @@ def plan(fps: DataFrame, distance: int) -> tuple[list[list[int]], list[int]]:
         cost = []
         for i, g in enumerate(groups):
             q = differ[g] / (1 - differ[g])
-            ways = [1.0, q.sum(), (q.sum() ** 2 - (q**2).sum()) / 2, *[math.inf] * distance]
-            cost.append([0.0] + [0.5 * pairs.get(i, 0.0) * sum(ways[: t + 1]) + n * sum(math.comb(len(g), j) for j in range(t + 1)) for t in range(distance + 1)])
+            ways = [q.sum() ** j / math.factorial(j) for j in range(distance + 1)]
+            cost.append([0.0] + [0.5 * pairs.get(i, 0.0) * sum(ways[: t + 1]) + n * _probes(len(g), t) for t in range(distance + 1)])
         total, ts = allocate(cost, distance)
         if best is None or total < best[0]:
             best = (total, groups, ts)
@@ -234,7 +243,7 @@ def classes(rows: DataFrame, distance: int, bucket: int = 512) -> DataFrame:
     return staged(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "classes")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 7, text: str = "text", row_id: str = "doc_id", bucket: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, text: str = "text", row_id: str = "doc_id", bucket: int = 512) -> DataFrame:
     """(row id, fp, component_id): the class of each document, named by the least id in it."""
     rows = staged(fingerprints(docs.select(row_id, text), width, text).select(row_id, "fp"), "fingerprints")
     of = classes(rows, distance, bucket)
@@ -244,12 +253,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 7, text: st
     return rows.join(by_fp, F.col("fp") == F.col("__tw_fp"), "left").select(row_id, "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 5, distance: int = 7, text: str = "text", row_id: str = "doc_id", bucket: int = 512) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 5, distance: int = 2, text: str = "text", row_id: str = "doc_id", bucket: int = 512) -> DataFrame:
     """One row of ``docs``, that of the least id, for each component of near-duplicates.
 
     Rows that share an id but not a text are told apart by a hash of the text; of rows alike in
     both, one stays. Rows with a null id stand for their group only where no row of it has an id.
-    At 7 of 64 bits a pair of five-word shingle sets of similarity 0.9 is linked as a rule.
     """
     docs_h = fresh(docs, "__tw_h").withColumn("__tw_h", F.xxhash64(F.col(text)))
     rows = staged(fingerprints(docs_h.select(row_id, text, "__tw_h"), width, text).select(row_id, "__tw_h", "fp"), "fingerprints")
