@@ -14,15 +14,16 @@ import numpy as np
 import zstandard
 
 U64 = np.uint64
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def pack(a: np.ndarray) -> bytes:
     """An unsigned array by byte planes, compressed: planes that are nearly constant cost nothing."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+    return _PACK.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
 
 
 def unpack(b: bytes, dtype) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    raw = np.frombuffer(_UNPACK.decompress(b), np.uint8)
     w = np.dtype(dtype).itemsize
     return np.ascontiguousarray(raw.reshape(w, -1).T).view(dtype).ravel()
 

@@ -38,8 +38,8 @@ from ._runs import buckets_for, pack, pack_keys, pieces, unpack, unpack_keys
 from ._shared import U64, prefix_hash, scratch, span_hash, staged, text_block
 
 GRAM = 32
-BLOCK = 4 << 20
-SHARD = 8 << 20
+BLOCK = 1 << 20
+SHARD = 1 << 20
 
 
 # ---------------------------------------------------------------- two-stage suffix sorting
@@ -51,22 +51,29 @@ def _types(t: np.ndarray) -> np.ndarray:
     up = np.zeros(n, np.int8)
     up[:-1] = np.sign(t[1:].astype(np.int16) - t[:-1])
     up[-1] = 1
-    at = np.where(up != 0, np.arange(n), n)
+    at = np.where(up != 0, np.arange(n, dtype=np.int32), np.int32(n))
     nxt = np.minimum.accumulate(at[::-1])[::-1]
     return up[np.minimum(nxt, n - 1)] > 0
 
 
-def _words(t: np.ndarray, to_end: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place as one number, with zeros from the separator on."""
-    out = np.zeros(len(at), np.uint64)
-    left = to_end[np.minimum(at, len(t) - 1)]
+def _eights(t: np.ndarray, to_end: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place as one number, with zeros from the separator on."""
+    n = len(t)
+    out = np.zeros(n, np.uint64)
     for j in range(8):
-        x = np.where(j < left, t[np.minimum(at + j, len(t) - 1)], 0).astype(np.uint64)
-        out = (out << U64(8)) | x
+        out <<= U64(8)
+        out[: n - j] |= t[j:]
+    gone = np.flatnonzero(to_end < 8)
+    return _masked(out, gone, to_end)
+
+
+def _masked(out: np.ndarray, at: np.ndarray, to_end: np.ndarray) -> np.ndarray:
+    keep = (U64(8) - to_end[at].astype(np.uint64)) * U64(8)
+    out[at] = np.where(keep >= 64, U64(0), (out[at] >> np.minimum(keep, U64(63))) << np.minimum(keep, U64(63)))
     return out
 
 
-def _sort_directly(t: np.ndarray, to_end: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+def _sort_directly(t: np.ndarray, to_end: np.ndarray, eights: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """``at`` in the order of the suffixes there, to ``depth`` bytes or the separator; equal ones side by side.
 
     Suffixes alike to that depth (told by a hash of it) are sorted as one.
@@ -77,7 +84,7 @@ def _sort_directly(t: np.ndarray, to_end: np.ndarray, at: np.ndarray, depth: int
     h = span_hash(prefix, at, at + np.minimum(depth, to_end[at]))
     _, one, back = np.unique(h, return_index=True, return_inverse=True)
     rep = at[one]
-    key = _words(t, to_end, rep)
+    key = eights[rep]
     order = np.argsort(key, kind="stable")
     key = key[order]
     new = np.r_[True, key[1:] != key[:-1]]
@@ -89,7 +96,7 @@ def _sort_directly(t: np.ndarray, to_end: np.ndarray, at: np.ndarray, depth: int
             break
         more = rep[order[tied]] + done
         live = to_end[rep[order[tied]]] > done
-        key = np.where(live, _words(t, to_end, np.minimum(more, len(t) - 1)), U64(0))
+        key = np.where(live, eights[np.minimum(more, len(t) - 1)], U64(0))
         sub = np.lexsort((key, group[tied]))
         order[tied] = order[tied][sub]
         key, g = key[sub], group[tied][sub]
@@ -100,7 +107,7 @@ def _sort_directly(t: np.ndarray, to_end: np.ndarray, at: np.ndarray, depth: int
     return at[np.argsort(rank[back], kind="stable")]
 
 
-def suffix_order(t: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(t: np.ndarray, wanted: np.ndarray, depth: int, to_end: np.ndarray, eights: np.ndarray) -> np.ndarray:
     """The places where ``wanted`` is true, in the order of their suffixes (to ``depth`` bytes or a separator, byte 0).
 
     ``t`` ends with a separator. Suffixes needed only to induce others are sorted along.
@@ -108,17 +115,15 @@ def suffix_order(t: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     n = len(t)
     small = _types(t)
     # an induced suffix needs its successor: all the way to the next one that is sorted directly
-    pos = np.arange(n)
-    streak = np.maximum.accumulate(np.where(np.r_[True, small[:-1]], pos, 0))  # where the run of larger ones before each place began
-    need = np.maximum.accumulate(np.where(wanted, pos, -1)) >= streak
-    ends = np.where(t == 0, pos, n)
-    to_end = np.minimum.accumulate(ends[::-1])[::-1] - pos
-    direct = _sort_directly(t, to_end, np.flatnonzero(need & small), depth)
+    pos = np.arange(n, dtype=np.int32)
+    streak = np.maximum.accumulate(np.where(np.r_[True, small[:-1]], pos, np.int32(0)))  # where the run of larger ones before each place began
+    need = np.maximum.accumulate(np.where(wanted, pos, np.int32(-1))) >= streak
+    direct = _sort_directly(t, to_end, eights, np.flatnonzero(need & small), depth)
     heads = t[direct]
     cut = np.searchsorted(heads, np.arange(257)) if len(heads) else np.zeros(257, int)
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
-    for c in range(256):
+    for c in np.flatnonzero(np.bincount(t, minlength=256)).tolist():
         mine, sorted_ = induced[c], direct[cut[c] : cut[c + 1]]
         wave = np.concatenate(mine) if mine else np.zeros(0, np.int64)
         waves = [wave]
@@ -145,33 +150,52 @@ def suffix_order(t: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     return order[wanted[order]]
 
 
-def common_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(order: np.ndarray, most: int, to_end: np.ndarray, eights: np.ndarray) -> np.ndarray:
     """Bytes that each suffix has in common with the one before it, up to ``most`` or a separator."""
     out = np.zeros(len(order), np.int64)
+    if len(order) < 2:
+        return out
+    most_of = np.minimum(np.minimum(to_end[order[1:]], to_end[order[:-1]]), most)
     live = np.arange(1, len(order))
-    for k in range(most):
-        x, y = t[np.minimum(order[live] + k, len(t) - 1)], t[np.minimum(order[live - 1] + k, len(t) - 1)]
-        live = live[(x == y) & (x > 0)]
+    for k in range(0, most, 8):
+        d = eights[np.minimum(order[live] + k, len(eights) - 1)] ^ eights[np.minimum(order[live - 1] + k, len(eights) - 1)]
+        same = d == 0
+        off = d[~same]
+        out[live[~same]] = k + sum((off < (U64(1) << U64(b))).astype(np.int64) for b in range(8, 64, 8))
+        live = live[same]
+        out[live] = k + 8
+        live = live[most_of[live - 1] > k + 8]
         if not live.size:
             break
-        out[live] = k + 1
+    out[1:] = np.minimum(out[1:], most_of)
     return out
 
 
-def repeated_windows(segments: list[bytes], windows: list[int], least: int) -> list[np.ndarray]:
-    """For each segment, which of its first ``windows`` starts begin a string of ``least`` bytes found at another start."""
-    raw = b"\0".join(s.translate(_UP) for s in segments) + b"\0"
-    t = np.frombuffer(raw, np.uint8)
+def distances(t: np.ndarray) -> np.ndarray:
+    """Bytes from each place to the next separator."""
+    pos = np.arange(len(t), dtype=np.int32)
+    return np.minimum.accumulate(np.where(t == 0, pos, np.int32(len(t)))[::-1])[::-1] - pos
+
+
+def repeated_windows(segments: list[bytes], windows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the segments, end to end with a separator after each, and where strings of ``least`` bytes begin that begin elsewhere too.
+
+    Of segment i the first ``windows[i]`` starts are looked at.
+    """
+    t = np.frombuffer((b"\0".join(s.translate(_UP) for s in segments)) + b"\0", np.uint8)
     begin = np.cumsum([0, *(len(s) + 1 for s in segments)])[:-1]
-    wanted = np.zeros(len(t), bool)
-    for b, w in zip(begin.tolist(), windows, strict=True):
-        wanted[b : b + w] = True
-    order = suffix_order(t, wanted, least)
-    long_ = common_prefixes(t, order, least) >= least
+    mark = np.zeros(len(t) + 1, np.int8)
+    mark[begin] += 1
+    np.add.at(mark, begin + windows, -1)
+    wanted = np.cumsum(mark[:-1]) > 0
+    to_end = distances(t)
+    eights = _eights(t, to_end)
+    order = suffix_order(t, wanted, least, to_end, eights)
+    long_ = common_prefixes(order, least, to_end, eights) >= least
     hit = np.zeros(len(t), bool)
     hit[order[long_]] = True
     hit[order[np.flatnonzero(long_) - 1]] = True
-    return [hit[b : b + w] for b, w in zip(begin.tolist(), windows, strict=True)]
+    return begin, hit
 
 
 #: Bytes of UTF-8 one up, so that 0 is free for separators.
@@ -259,7 +283,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _MARK = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("n", pa.binary())])
-_SEG = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("text", pa.binary()), ("len", pa.binary()), ("windows", pa.binary()), ("times", pa.binary()), ("owner", pa.binary()), ("start", pa.binary())])
+_SEG = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("text", pa.binary()), ("len", pa.binary()), ("times", pa.binary()), ("owner", pa.binary()), ("start", pa.binary())])
 
 
 def remove_repeats(docs: DataFrame, least: int = 200, hot: int = 4096, text: str = "text", row_id: str = "doc_id", with_text: bool = True) -> DataFrame:
@@ -275,7 +299,7 @@ def remove_repeats(docs: DataFrame, least: int = 200, hot: int = 4096, text: str
     packed.write.bucketBy(max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block").sortBy("block").option("path", scratch(spark, "blocks")).saveAsTable(table)
     store = spark.table(table)
     size = store.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
-    buckets = buckets_for(2 * size // (least - GRAM + 2))
+    buckets = buckets_for(2 * size // (least - GRAM + 2), 1 << 18)
 
     def count_anchors(batches):
         for row in _rows(batches):
@@ -352,7 +376,7 @@ def remove_repeats(docs: DataFrame, least: int = 200, hot: int = 4096, text: str
                 owner = np.cumsum(new) - 1
                 bytes_ = b"".join(data[a:b].tobytes() for a, b in zip(seg_s[one].tolist(), seg_e[one].tolist(), strict=True))
                 length = (seg_e[one] - seg_s[one]).astype(np.uint32)
-                got.append((int(to[x]), row["block"].as_py(), bytes_, pack(length), pack((length - least + 1).astype(np.uint32)), pack(np.minimum(np.bincount(owner), 2).astype(np.uint8)), pack(owner.astype(np.uint32)), pack(seg_s[x:y].astype(np.uint32))))
+                got.append((int(to[x]), row["block"].as_py(), bytes_, pack(length), pack(np.minimum(np.bincount(owner), 2).astype(np.uint8)), pack(owner.astype(np.uint32)), pack(seg_s[x:y].astype(np.uint32))))
             yield _table(got, _SEG)
 
     def sort_shard(key, t):
@@ -370,26 +394,24 @@ def remove_repeats(docs: DataFrame, least: int = 200, hot: int = 4096, text: str
                 times[i] += m
                 mine.append(i)
             of_row.append(np.array(mine, np.int64))
-        windows = [len(x) - least + 1 for x in texts]
         twice = [i for i, m in enumerate(times) if m > 1]
-        hit = repeated_windows([*texts, *(texts[i] for i in twice)], [*windows, *(windows[i] for i in twice)], least)[: len(texts)]
-        runs_of = []
-        for x in hit:
-            d = np.flatnonzero(np.diff(np.r_[False, x, False].astype(np.int8)))
-            runs_of.append((d[::2], d[1::2] - d[::2]))
+        all_ = [*texts, *(texts[i] for i in twice)]
+        begin, hit = repeated_windows(all_, np.array([len(x) - least + 1 for x in all_], np.int64), least)
+        d = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
+        run, size = d[::2], d[1::2] - d[::2]  # no run crosses segments: none begins near a segment's end
+        first = np.searchsorted(run, begin[: len(texts)])
+        count = np.searchsorted(run, begin[: len(texts)] + [len(x) for x in texts]) - first
         got = []
         for block, mine, owner, start in zip(t.column("block").to_pylist(), of_row, t.column("owner").to_pylist(), t.column("start").to_pylist(), strict=True):
-            at, n = [], []
-            for i, s in zip(mine[unpack(owner, np.uint32)].tolist(), unpack(start, np.uint32).tolist(), strict=True):
-                a, k = runs_of[i]
-                if len(a):
-                    at.append(a + s)
-                    n.append(k)
-            if at:
-                got.append((block, pack(np.concatenate(at).astype(np.uint32)), pack(np.concatenate(n).astype(np.uint32))))
+            i, s = mine[unpack(owner, np.uint32)], unpack(start, np.uint32).astype(np.int64)
+            n = count[i]
+            if n.any():
+                k = np.repeat(first[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = run[k] - np.repeat(begin[i], n) + np.repeat(s, n)
+                got.append((block, pack(at.astype(np.uint32)), pack(size[k].astype(np.uint32))))
         return pa.Table.from_batches([_table(got, _MARK)])
 
-    seg_schema = "shard int, block bigint, text binary, len binary, windows binary, times binary, owner binary, start binary"
+    seg_schema = "shard int, block bigint, text binary, len binary, times binary, owner binary, start binary"
     segments = store.select("block", "offs", "data").join(gathered, "block").mapInArrow(cut_segments, seg_schema)
     marked = staged(segments.groupBy("shard").applyInArrow(sort_shard, marks), "windows")
     covers = marked.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
