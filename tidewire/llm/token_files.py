@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Beyond so many remembered words (or pieces) a worker forgets them all.
-MEMO = 400_000
+MEMO = 1_000_000
 
 
 def _byte_letters() -> list[str]:
@@ -49,7 +50,8 @@ class Encoder:
     def __init__(self, spec: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.whole, self.dtype = Tokenizer.from_str(spec), dtype
+        self.whole, self.dtype, self.code = Tokenizer.from_str(spec), dtype, "H" if dtype == "<u2" else "I"
+        self.tokenize = self.whole.model.tokenize
         d = json.loads(spec)
         steps = [(x.get("type"), x.get("pattern", {}).get("Regex"), x.get("content")) for x in (d.get("normalizer") or {}).get("normalizers", [])]
         split = (d.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -65,10 +67,12 @@ class Encoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        mapped = "".join(map(self.letters.__getitem__, piece.encode()))
-        return np.array([t.id for t in self.whole.model.tokenize(mapped)], self.dtype).tobytes()
+        mapped = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return array(self.code, [t.id for t in self.tokenize(mapped)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isalpha() and word.islower() and word.isascii():
+            return self.known[word] if word in self.known else self._piece(word)
         if not self.plain.fullmatch(word):
             return self._whole(word)
         return b"".join(map(self.known.__getitem__, self.pieces.findall(word.lower())))
