@@ -337,6 +337,25 @@ def test_deduplicate(spark):
     assert kept == Counter([*range(20), 27, None])
 
 
+def test_deduplicate_at_similarity(spark):
+    rng = random.Random(14)
+    texts = [words(rng, rng.randrange(20, 120), 9999) for _ in range(40)]
+    for _ in range(160):  # near copies on both sides of 0.8, also of near copies, all with one passage
+        w = rng.choice(texts).split()
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(99)}"
+        texts.append(" ".join(w + ["the", "same", "six", "words", "at", "end"] * rng.randrange(2)))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for t in texts for w in [t.split()]]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and up[i] != up[j]:
+                a, b = sorted((up[i], up[j]))
+                up = [a if x == b else x for x in up]
+    assert 45 < len(set(up)) < 195
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(frame(spark, texts)).collect()) == sorted(set(up))
+
+
 # ---------------------------------------------------------------- 10
 
 

@@ -12,6 +12,9 @@ agree on a part and differ in at most ``distance`` of the other bits agree after
 of those bits are cleared, and all that agree so are links of each other; each is linked to the
 least of them. That is exact and grows with the bucket, not with its square.
 
+``deduplicate`` goes by the shingle sets themselves, not by fingerprints: all pairs of the similarity,
+found by prefix filtering and verified exactly.
+
 Defined cases: a text without words (or null) has fingerprint zero, linked like any other; repeated
 rows have one fingerprint; null ids are never a component's id unless all of it have none; an
 empty table gives an empty result; input columns named like a computed one are replaced.
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import LOWER, SPACED, blocks, fresh, staged, word_spans
+from ._shared import LOWER, SPACED, U64, blocks, fresh, mix, prefix_hash, span_hash, staged, word_spans
 
 
 def _fingerprints(data: np.ndarray, offs: np.ndarray, width: int, seed: int = 42) -> np.ndarray:
@@ -253,16 +256,144 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, text: st
     return rows.join(by_fp, F.col("fp") == F.col("__tw_fp"), "left").select(row_id, "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 5, distance: int = 2, text: str = "text", row_id: str = "doc_id", bucket: int = 512) -> DataFrame:
-    """One row of ``docs``, that of the least id, for each component of near-duplicates.
+def _shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each document, ascending, end to end, and the n + 1 offsets of the documents."""
+    low = LOWER[data]
+    s, e, row = word_spans(low, offs, SPACED)
+    n = len(offs) - 1
+    if not len(s):
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+    word = span_hash(prefix_hash(low), s, e)
+    count = np.bincount(row, minlength=n)
+    end = np.cumsum(count)
+    i, last = np.arange(len(s)), end[row] - 1
+    starts = np.flatnonzero((i + width - 1 <= last) | (i == (end - count)[row]))
+    h = np.zeros(len(starts), np.uint64)
+    for j in range(width):  # a text of fewer words is one shingle
+        live = np.flatnonzero(starts + j <= last[starts])
+        with np.errstate(over="ignore"):
+            h[live] = mix(h[live] * U64(0x9FB21C651E98DF25) + word[starts[live] + j])
+    doc = row[starts]
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
+    return h[new], np.r_[0, np.cumsum(np.bincount(doc[new], minlength=n))]
+
+
+def _set_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each document's set; 0 for an empty one."""
+    sums = np.r_[U64(0), np.cumsum(mix(h ^ U64(0xD6E8FEB86659FD93)), dtype=np.uint64)]
+    return (sums[at[1:]] - sums[at[:-1]]).view(np.int64)
+
+
+def _parities(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """512 bits of each set, each the parity of the shingles that fall on it: two sets differ in as many shingles at least as in bits."""
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    odd = np.bincount(doc * 512 + (mix(h ^ U64(0xA24BAED4963EE407)) >> U64(55)).astype(np.int64), minlength=512 * (len(at) - 1)) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, 512), axis=1).view(np.int64)
+
+
+BITS = [f"p{i}" for i in range(8)]
+
+
+def _common(docs: DataFrame, width: int, text: str, often: int = 4, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that some block has often, ascending, with their counts: they go last in the order of shingles, which is right for any counts."""
+
+    def work(batches):
+        for _, data, offs in blocks(batches, text):
+            h, n = np.unique(_shingle_sets(data, offs, width)[0], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"h": h[n >= often].view(np.int64), "n": n[n >= often]})
+
+    got = docs.select(text).mapInArrow(work, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).toArrow()
+    h, n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefixes(docs: DataFrame, width: int, similarity: float, text: str) -> DataFrame:
+    """(k, s, n): the first shingles, rare ones first, of each set s of n shingles: two sets of the similarity share one of them."""
+    held = docs.sparkSession.sparkContext.broadcast(_common(docs, width, text))
+
+    def work(batches):
+        known, counts = held.value
+        seen: set[int] = set()
+        for _, data, offs in blocks(batches, text):
+            h, at = _shingle_sets(data, offs, width)
+            size = np.diff(at)
+            keys = _set_keys(h, at)
+            new = np.array([not (x in seen or seen.add(x)) for x in keys.tolist()])  # a task sends a set once
+            doc = np.repeat(np.arange(len(size)), size)
+            k = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            common = np.where(known[k] == h, counts[k], 0) if len(known) else np.zeros(len(h), np.int64)
+            order = np.lexsort((h, common, doc))
+            first = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+            take = order[np.arange(len(h)) - at[doc] < (first * new)[doc]]
+            yield pa.RecordBatch.from_pydict({"k": h[take].view(np.int64), "s": keys[doc[take]], "n": size[doc[take]]})
+
+    return docs.select(text).mapInArrow(work, "k bigint, s bigint, n bigint")
+
+
+def similar_sets(docs: DataFrame, least: DataFrame, width: int, similarity: float, text: str, row_id: str) -> DataFrame:
+    """(node, root) of the sets in a component of pairs with Jaccard similarity ``similarity`` or more; each pair is verified on the whole sets.
+
+    Candidates share a shingle of their prefixes (Chaudhuri et al. 2006), so that no pair is missed. First
+    each set is compared with the least one at a shingle, then those with each other that are in different
+    components yet: a group of near copies costs its size, not its square. ``least`` (s, m, n, parities) has a row of each set.
+    """
+    post = _prefixes(docs, width, similarity, text).repartition("k").distinct()  # one exchange, also for the window
+    led = post.selectExpr("*", "min(struct(s, n)) OVER (PARTITION BY k) AS l", "max(s) OVER (PARTITION BY k) AS z").where("l.s < z")
+    posts = staged(led.select("k", "s", "n", F.col("l.s").alias("a"), F.col("l.n").alias("an")), "postings")
+    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9
+    schema = "s bigint, x array<bigint>"
+
+    def sets(batches):
+        for _, data, offs in blocks(batches, text):
+            h, at = _shingle_sets(data, offs, width)
+            yield pa.RecordBatch.from_arrays([pa.array(_set_keys(h, at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["s", "x"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        bits = lambda side: least.select(F.col("s").alias(side), F.col("n").alias(f"{side}n"), *[F.col(p).alias(f"{side}{p}") for p in BITS])
+        apart = sum((F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in BITS), F.lit(0))
+        most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("an") + F.col("bn")) + 1e-6
+        pairs = staged(pairs.join(bits("b"), "b").join(bits("a"), "a").where(apart <= most).select("a", "b"), "pairs")
+        wanted = least.join(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct(), "s").select("m.id", "m.h")
+        rows = docs.join(wanted, F.col(row_id).eqNullSafe(F.col("id")) & (F.col("__tw_h") == F.col("h")), "left_semi").dropDuplicates([row_id, "__tw_h"])
+        of = staged(rows.select(text).mapInArrow(sets, schema), "sets")
+        both = pairs.join(of.toDF("b", "y"), "b").join(of.toDF("a", "x"), "a").withColumn("i", F.size(F.array_intersect("x", "y")))
+        return staged(both.where(F.col("i") >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("i")) - 1e-9).select("a", "b"), "similar")
+
+    stars = staged(posts.where((F.col("s") > F.col("a")) & near(F.col("n"), F.col("an"))).select("a", F.col("s").alias("b")).distinct(), "stars")
+    found = verified(stars)
+    roots = components(found)
+    named = posts.select("k", "s", "n").join(roots, F.col("s") == F.col("node"), "left").select("k", "s", "n", F.coalesce("root", "s").alias("root"))
+    named = staged(named, "named")
+    apart = named.groupBy("k").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u < v").select("k")
+    rest = staged(named.join(apart, "k", "left_semi"), "apart")
+    x, y = rest.toDF("k", "a", "an", "ar"), rest.toDF("k", "b", "bn", "br")
+    pairs = x.join(y, "k").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & near(F.col("an"), F.col("bn"))).select("a", "b").distinct()
+    return components(found.union(verified(pairs.join(stars, ["a", "b"], "left_anti"))))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """One row of ``docs``, that of the least id, for each component of pairs whose shingle sets have the similarity or more.
 
     Rows that share an id but not a text are told apart by a hash of the text; of rows alike in
     both, one stays. Rows with a null id stand for their group only where no row of it has an id.
     """
     docs_h = fresh(docs, "__tw_h").withColumn("__tw_h", F.xxhash64(F.col(text)))
-    rows = staged(fingerprints(docs_h.select(row_id, text, "__tw_h"), width, text).select(row_id, "__tw_h", "fp"), "fingerprints")
+    only = docs_h.select(row_id, text, "__tw_h")
+
+    def keys(batches):
+        for batch, data, offs in blocks(batches, text):
+            h, at = _shingle_sets(data, offs, width)
+            more = [_set_keys(h, at), np.diff(at), *np.ascontiguousarray(_parities(h, at).T)]
+            yield pa.RecordBatch.from_arrays([batch.column(row_id), batch.column("__tw_h"), *map(pa.array, more)], names=[row_id, "__tw_h", "s", "n", *BITS])
+
+    rows = only.mapInArrow(keys, f"`{row_id}` {only.schema[row_id].dataType.simpleString()}, __tw_h bigint, s bigint, n bigint, " + ", ".join(f"{p} bigint" for p in BITS))
     first = F.min(F.struct(F.col(row_id).isNull().alias("none"), F.col(row_id).alias("id"), F.col("__tw_h").alias("h")))
-    least = rows.groupBy("fp").agg(first.alias("m"))
-    kept = staged(classes(rows, distance, bucket).join(least, "fp").groupBy("root").agg(F.min("m").alias("m")).select("m.id", "m.h"), "kept")
+    least = staged(rows.groupBy("s").agg(first.alias("m"), F.max("n").alias("n"), *[F.max(p).alias(p) for p in BITS]), "least")
+    roots = similar_sets(only, least, width, similarity, text, row_id)
+    of = least.join(roots, F.col("s") == F.col("node"), "left").select("m", F.coalesce("root", "s").alias("root"))
+    kept = staged(of.groupBy("root").agg(F.min("m").alias("m")).select("m.id", "m.h"), "kept")
     found = docs_h.join(kept, F.col(row_id).eqNullSafe(F.col("id")) & (F.col("__tw_h") == F.col("h")), "left_semi")
     return found.dropDuplicates([row_id, "__tw_h"]).drop("__tw_h")
