@@ -87,6 +87,17 @@ def test_shards(spark):
     assert len(one) == 3 and all(sorted(g.slot) == list(range(len(g))) for _, g in one.groupby("shard"))
 
 
+def test_shards_cut_a_text_with_a_third_of_all_bytes(spark):
+    rng = random.Random(15)
+    texts = [*[words(rng, 40) for _ in range(800)], *[words(random.Random(0), 40)] * 400]
+    docs = frame(spark, texts)
+    out = sharding.shard(docs, n_shards=16, tolerance=0.05).toPandas()
+    assert sorted(out.doc_id) == list(range(1200))
+    size = out.groupby("shard")["size"].sum()
+    assert len(size) == 16 and size.max() - size.min() <= 2 * out["size"].max() + 0.1 * size.mean()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
 # ---------------------------------------------------------------- 3
 
 

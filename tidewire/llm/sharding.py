@@ -57,7 +57,7 @@ def _histogram(keyed: DataFrame, probes: list[bytes]) -> tuple[list[int], list[i
     return np.cumsum(size).tolist()[:-1], np.cumsum(rows).tolist()[:-1]
 
 
-def splitters(keyed: DataFrame, n_shards: int, runs: int, tolerance: float, fan: int = 32, rounds: int = 12) -> tuple[list[bytes], list[int], list[int]]:
+def splitters(keyed: DataFrame, n_shards: int, runs: int, tolerance: float, fan: int = 32) -> tuple[list[bytes], list[int], list[int]]:
     """Keys that begin runs 1.. (shards begin at every ``runs``-th), with the rows before each run.
 
     Shard boundaries are refined to ``tolerance`` of a shard's bytes; boundaries between the runs
@@ -69,9 +69,7 @@ def splitters(keyed: DataFrame, n_shards: int, runs: int, tolerance: float, fan:
     known: dict[int, tuple[int, int]] = {0: (0, 0), top: (int(total[0]), int(total[1]))}
     probes = sorted({top * k // (n_shards * max(fan, 4 * runs)) for k in range(1, n_shards * max(fan, 4 * runs))})
     slack = tolerance * total[0] / n_shards
-    for _ in range(rounds):
-        if not probes or not total[1]:
-            break
+    while probes and total[1]:  # a round leaves 1 / fan of an interval, so the keys end it
         size, rows = _histogram(keyed, [p.to_bytes(KEY_BYTES, "big") for p in probes])
         known |= {p: (s, r) for p, s, r in zip(probes, size, rows, strict=True)}
         keys = sorted(known)
