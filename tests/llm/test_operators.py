@@ -259,6 +259,20 @@ def test_pfair_deviation(spark):
     assert sorted(r["doc_id"] for r in mixing.mixed(docs).collect()) == list(range(3000))
 
 
+def test_pfair_deviation_from_the_returned_weight(spark):
+    rows = [(i, "x" * 64, ["a", "b", "c", "tiny"][0 if i < 19000 else 1 if i < 29000 else 2 if i < 29900 else 3]) for i in range(30000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = mixing.mix(docs, weights={"a": 2.0, "b": 1.0 + 1 / 7, "c": 0.0917, "tiny": 0.0004}, block_bytes=64).toPandas().sort_values("slot")
+    assert out.slot.tolist() == list(range(30000))
+    end = min(out[out.source == s].slot.max() for s in ("a", "b", "c", "tiny"))
+    assert end > 20000
+    for s, g in out.groupby("source"):
+        done = np.cumsum((out.source == s).to_numpy()[: end + 1])
+        assert np.abs(done - g.weight.iloc[0] * np.arange(1, end + 2)).max() < 1, s
+    many = spark.createDataFrame([(i, "x", f"s{i}") for i in range(1100)], "doc_id bigint, text string, source string")
+    assert mixing.mix(many).select("slot").distinct().count() == 1100
+
+
 def test_one_period_meets_its_windows():
     for parts in ({"a": 37, "b": 1, "c": 62}, {"a": 1, "b": 1}, {"x": 100}, {str(i): 1 for i in range(64)}):
         period = sum(parts.values())

@@ -5,10 +5,10 @@ bytes. With weight ``w``, a source's block k is released at slot floor((k - 1) /
 ceil(k / w); in each slot the released block with the earliest deadline goes next. As the weights
 add up to one, every block meets its deadline and no source is ever a whole block off its share.
 
-Weights are whole parts of ``period`` slots, so the schedule repeats: the driver works out one
-period (a number of steps that only ``period`` decides), and a block's slot follows from its number
-by arithmetic. When a source runs out, a new phase begins with the weights of the others scaled up;
-there are at most as many phases as sources. No row is dropped or repeated.
+Weights are exact fractions and are not rounded: the driver deals every block once (one step of a
+heap a block of 64 KB) and sends the slots by broadcast, 8 bytes a block. When a source runs out, a
+new phase begins with the weights of the others scaled up; there are at most as many phases as
+sources. No row is dropped or repeated. With ``period`` the weights are rounded to whole parts of it.
 
 Ranks within a source come from two levels of sums (buckets of a hash, then rows in a bucket), so
 that a source with a third of all rows is spread over all tasks.
@@ -21,7 +21,10 @@ an empty table gives an empty result; input columns named like a computed one ar
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+from array import array
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from ._shared import fresh, staged
 
 OUT = ("block", "weight", "slot", "seq")
+#: Blocks of a source whose slots go in one row of the broadcast.
+CHUNK = 4096
 
 
 def shares(weights: dict, period: int) -> dict:
@@ -45,52 +50,57 @@ def shares(weights: dict, period: int) -> dict:
     return parts
 
 
-def one_period(parts: dict, period: int) -> list:
-    """The source of each slot: earliest deadline first among released blocks, ties by source."""
-    names = sorted(parts, key=lambda s: (s is not None, str(s)))
-    release = lambda i, k: (k - 1) * period // parts[names[i]]
-    due = lambda i, k: -(-k * period // parts[names[i]])
-    waiting, ready, out = [(0, i, 1) for i in range(len(names))], [], []
+def dealt(weights: dict):
+    """The source of each slot without end, for whole-number weights: earliest deadline first among released blocks, ties by source."""
+    names = sorted(weights, key=lambda s: (s is not None, str(s)))
+    w = [weights[s] for s in names]
+    total = sum(w)
+    waiting, ready, t = [(0, i, 1) for i in range(len(names))], [], 0
     heapq.heapify(waiting)
-    for t in range(period):
+    while True:
         while waiting and waiting[0][0] <= t:
             _, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(i, k), i, k))
+            heapq.heappush(ready, (-(-k * total // w[i]), i, k))
         d, i, k = heapq.heappop(ready)
         assert d > t
-        out.append(names[i])
-        if k < parts[names[i]]:
-            heapq.heappush(waiting, (release(i, k + 1), i, k + 1))
-    return out
+        yield names[i]
+        heapq.heappush(waiting, (k * total // w[i], i, k + 1))
+        t += 1
+
+
+def one_period(parts: dict, period: int) -> list:
+    """The source of each slot of a period."""
+    return list(itertools.islice(dealt(parts), period))
+
+
+def whole(weights: dict) -> dict:
+    """Whole numbers in exactly the proportions of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    common = math.lcm(*(f.denominator for f in exact.values())) if exact else 1
+    return {s: int(f * common) for s, f in exact.items()}
 
 
-def phases(blocks: dict, weights: dict, period: int) -> list[dict]:
-    """Phases of the whole schedule: their first slot, and per source its first block and its offsets in a period."""
-    left, begun, slot, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+def schedule(blocks: dict, weights: dict) -> dict:
+    """The slots of each source's blocks, in order; a source of weight zero waits until the others have run out."""
+    left, slot = {s: n for s, n in blocks.items() if n}, 0
+    out = {s: array("q") for s in left}
     while left:
-        parts = shares({s: weights[s] for s in left}, period)
-        at = {s: [] for s in left}
-        for t, s in enumerate(one_period(parts, period)):
-            at[s].append(t)
-        # the first source to run out, and the slot of its last block
-        end = min((n - 1) // parts[s] * period + at[s][(n - 1) % parts[s]] for s, n in left.items())
-        out.append({"slot": slot, "first": {s: begun[s] for s in left}, "at": at, "parts": parts})
-        whole, rest = divmod(end + 1, period)
-        for s in list(left):
-            used = whole * parts[s] + sum(t < rest for t in at[s])
-            left[s] -= used
-            begun[s] += used
-            if left[s] <= 0:
+        live = {s: weights[s] for s in left if weights[s] > 0} or dict.fromkeys(left, 1)
+        for s in dealt(live):
+            out[s].append(slot)
+            slot += 1
+            left[s] -= 1
+            if not left[s]:
                 del left[s]
-        slot += end + 1
+                break
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, block_bytes: int = 1 << 16, period: int = 1024, source: str = "source", text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, block_bytes: int = 1 << 16, period: int | None = None, source: str = "source", text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """``docs`` with block (of its source, from 0), weight (target), slot (of the block in the mix) and seq (byte at which it begins in the block).
 
     Ordered by (slot, seq, row id) the rows are the mix. Without ``weights`` a source weighs its bytes to
-    the power ``alpha``. The number of sources must be at most ``period``.
+    the power ``alpha``. The number of sources must be at most ``period``, where it is given.
     """
     docs = fresh(docs, *OUT)
     spark = docs.sparkSession
@@ -103,22 +113,20 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, block_
     counts = staged(rows.groupBy("__tw_source", bucket.alias("__tw_bucket")).agg(F.sum("__tw_size").alias("bytes")), "buckets")
     bases = counts.selectExpr("__tw_source AS s", "__tw_bucket AS b", "sum(bytes) OVER (PARTITION BY __tw_source ORDER BY __tw_bucket) - bytes AS base")
     totals = {s: n for s, n in counts.groupBy("__tw_source").agg(F.sum("bytes")).collect()}  # noqa: C416
-    if len(totals) > period:
+    if period is not None and len(totals) > period:
         raise ValueError(f"{len(totals)} sources need a period of as many slots at least")
     target = {s: float(n) ** alpha for s, n in totals.items()} if weights is None else {s: weights[s] for s in totals}
-    scale = sum(target.values()) or 1.0
-    plan = phases({s: -(-n // block_bytes) for s, n in totals.items()}, target, period)
-    steps = [(s, k, p["first"][s], p["slot"], p["parts"][s], p["at"][s], target[s] / scale) for k, p in enumerate(plan) for s in p["first"]]
-    lasts = {(s, k): min([q["first"][s] for q in plan[k + 1 :] if s in q["first"]][:1] or [1 << 62]) for s, k, *_ in steps}
-    table = spark.createDataFrame([(s, f, lasts[s, k], b, n, a, w) for s, k, f, b, n, a, w in steps], "s string, first bigint, next bigint, begin bigint, parts int, at array<int>, w double")
-    # at most sources x phases rows, of ``period`` offsets a phase: bounded by the sources, not the rows
+    parts = whole(target) if period is None or not target else shares(target, period)
+    scale = sum(parts.values()) or 1
+    plan = schedule({s: -(-n // block_bytes) for s, n in totals.items()}, parts)
+    steps = [(s, k, at[k * CHUNK : (k + 1) * CHUNK].tolist(), parts[s] / scale) for s, at in plan.items() for k in range(-(-len(at) // CHUNK))]
+    table = spark.createDataFrame(steps, "s string, chunk bigint, at array<bigint>, w double")
     in_bucket = "PARTITION BY __tw_source, __tw_bucket ORDER BY __tw_hash ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     placed = sized.withColumn("__tw_bucket", bucket).withColumn("__tw_in", F.expr(f"sum(__tw_size) OVER ({in_bucket}) - __tw_size"))
     placed = placed.join(bases, F.col("__tw_source").eqNullSafe(F.col("s")) & (F.col("__tw_bucket") == F.col("b"))).withColumn("__tw_byte", F.col("base") + F.col("__tw_in")).drop("s", "b", "base")
     placed = placed.withColumns({"__tw_block": F.expr(f"__tw_byte div {block_bytes}"), "__tw_seq": F.expr(f"__tw_byte % {block_bytes}")})
-    out = placed.join(F.broadcast(table), F.col("__tw_source").eqNullSafe(F.col("s")) & (F.col("__tw_block") >= F.col("first")) & (F.col("__tw_block") < F.col("next")))
-    k = F.col("__tw_block") - F.col("first")
-    slot = F.col("begin") + F.expr("(__tw_block - first) div parts") * F.lit(period) + F.get("at", (k % F.col("parts")).cast("int"))
+    out = placed.join(F.broadcast(table), F.col("__tw_source").eqNullSafe(F.col("s")) & (F.expr(f"__tw_block div {CHUNK}") == F.col("chunk")))
+    slot = F.get("at", F.expr(f"cast(__tw_block % {CHUNK} AS int)"))
     return out.select(*[F.col(c) for c in docs.columns], F.col("__tw_block").alias("block"), F.col("w").alias("weight"), slot.alias("slot"), F.col("__tw_seq").alias("seq"))
 
 
