@@ -132,19 +132,24 @@ def prune(spark, d):
     return correspondence.prune(A.amplification(spark, d).where("(src + dst) % 40 = 0"))
 
 
+@query("M2_prune_whole")
+def prune_whole(spark, d):
+    return correspondence.prune(A.amplification(spark, d))
+
+
 @query("M11_inertia", AMP + ", r AS (SELECT src, sum(weight) AS r FROM amp GROUP BY ALL), c AS (SELECT dst, sum(weight) AS c FROM amp GROUP BY ALL) SELECT round(sum(weight * weight / (r * c)) - 1, 6) AS inertia FROM amp JOIN r USING (src) JOIN c USING (dst)")
 def inertia(spark, d):
     return correspondence.total_inertia(A.amplification(spark, d)).select(F.round("inertia", 6).alias("inertia"))
 
 
 def _positions(spark, d) -> DataFrame:
-    table, _ = correspondence.largest_component(correspondence.prune(A.amplification(spark, d).where("(src + dst) % 20 = 0")))
+    table, _ = correspondence.largest_component(correspondence.prune(A.amplification(spark, d)))
     return correspondence.positions(table)
 
 
 @query("M3_coverage")
 def coverage(spark, d):
-    return correspondence.largest_component(correspondence.prune(A.amplification(spark, d).where("(src + dst) % 20 = 0")))[1]
+    return correspondence.largest_component(correspondence.prune(A.amplification(spark, d)))[1]
 
 
 @query("M4_M9_M12_positions")
