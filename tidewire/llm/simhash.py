@@ -333,7 +333,77 @@ def _prefixes(docs: DataFrame, width: int, similarity: float, text: str) -> Data
     return docs.select(text).mapInArrow(work, "k bigint, s bigint, n bigint")
 
 
-def similar_sets(docs: DataFrame, least: DataFrame, width: int, similarity: float, text: str, row_id: str) -> DataFrame:
+#: Bytes that a shingle's hash takes when sets are compared.
+PLACES = 6
+
+
+def _packed(h: np.ndarray) -> bytes:
+    return h.view(np.uint8).reshape(-1, 8)[:, :PLACES].tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    wide = np.zeros((len(b) // PLACES, 8), np.uint8)
+    wide[:, :PLACES] = np.frombuffer(b, np.uint8).reshape(-1, PLACES)
+    return np.sort(wide.view(np.uint64).ravel())
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, width: int, similarity: float, text: str, broadcast_rows: int) -> DataFrame:
+    """Those pairs (a, b) of sets whose Jaccard similarity, on the whole sets, is ``similarity`` or more.
+
+    Only documents with a pair left after the bound of their parities are read for their sets. Each goes to its
+    leaders ``a``, in parts of about a million shingles, and the leader to each of its parts, where
+    the sets stream past it: a leader of many is dealt over tasks, and no pair of sets is ever a row.
+    """
+    bits = lambda side: least.select(F.col("s").alias(side), F.col("n").alias(f"{side}n"), *[F.col(p).alias(f"{side}{p}") for p in BITS])
+    apart = sum((F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in BITS), F.lit(0))
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("an") + F.col("bn")) + 1e-6
+    pairs = staged(pairs.join(bits("b"), "b").join(bits("a"), "a").where(apart <= most).select("a", "b", "bn"), "pairs")
+    load = pairs.groupBy("a").agg(F.ceil(F.sum("bn") / F.lit(1 << 20)).alias("parts"))
+    dealt = pairs.join(load, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "b", "part")
+    sends = dealt.select(F.col("b").alias("s"), "a", "part").union(dealt.select("a", "a", "part").distinct())
+    wanted = sends.join(least.select("s", F.col("m.r0").alias("__tw_0"), F.col("m.r1").alias("__tw_1")), "s")
+    wanted = staged(wanted.groupBy("__tw_0", "__tw_1", "s").agg(F.collect_list(F.struct("a", "part")).alias("to")), "wanted")
+    if wanted.count() <= broadcast_rows:
+        wanted = F.broadcast(wanted)
+    schema = "a bigint, part bigint, s bigint, x binary"
+
+    def send(batches):
+        names = ["a", "part", "s", "x"]
+        for batch, data, offs in blocks(batches, text):
+            h, at = _shingle_sets(data, offs, width)
+            out, size = [], 0
+            for i in range(batch.num_rows):
+                s, x = batch.column("s")[i].as_py(), _packed(h[at[i] : at[i + 1]])
+                for to in batch.column("to")[i].as_py():
+                    out.append((to["a"], to["part"], s, x))
+                    size += len(x)
+                    if size > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
+
+    def compare(batches):
+        leader, x = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            a, s, sets = batch.column("a").to_pylist(), batch.column("s").to_pylist(), batch.column("x")
+            alike = []
+            for i in range(batch.num_rows):
+                if s[i] == a[i]:
+                    leader, x = a[i], _unpacked(sets[i].as_py())
+                    continue
+                y = _unpacked(sets[i].as_py())
+                both = int((x[np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))] == y).sum()) if len(x) and leader == a[i] else 0
+                if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                    alike.append((a[i], s[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in alike], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    sent = docs.join(wanted, ["__tw_0", "__tw_1"]).select(text, "s", "to").mapInArrow(send, schema)
+    met = sent.repartition("a", "part").sortWithinPartitions("a", "part", (F.col("s") != F.col("a")).cast("int"), "s")
+    return staged(met.mapInArrow(compare, "a bigint, b bigint").distinct(), "similar")
+
+
+def similar_sets(docs: DataFrame, least: DataFrame, width: int, similarity: float, text: str, broadcast_rows: int = 1 << 18) -> DataFrame:
     """(node, root) of the sets in a component of pairs with Jaccard similarity ``similarity`` or more; each pair is verified on the whole sets.
 
     Candidates share a shingle of their prefixes (Chaudhuri et al. 2006), so that no pair is missed. First
@@ -344,24 +414,7 @@ def similar_sets(docs: DataFrame, least: DataFrame, width: int, similarity: floa
     led = post.selectExpr("*", "min(struct(s, n)) OVER (PARTITION BY k) AS l", "max(s) OVER (PARTITION BY k) AS z").where("l.s < z")
     posts = staged(led.select("k", "s", "n", F.col("l.s").alias("a"), F.col("l.n").alias("an")), "postings")
     near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9
-    schema = "s bigint, x array<bigint>"
-
-    def sets(batches):
-        for _, data, offs in blocks(batches, text):
-            h, at = _shingle_sets(data, offs, width)
-            yield pa.RecordBatch.from_arrays([pa.array(_set_keys(h, at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], names=["s", "x"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        bits = lambda side: least.select(F.col("s").alias(side), F.col("n").alias(f"{side}n"), *[F.col(p).alias(f"{side}{p}") for p in BITS])
-        apart = sum((F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in BITS), F.lit(0))
-        most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("an") + F.col("bn")) + 1e-6
-        pairs = staged(pairs.join(bits("b"), "b").join(bits("a"), "a").where(apart <= most).select("a", "b"), "pairs")
-        wanted = least.join(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct(), "s").select("m.id", "m.h")
-        rows = docs.join(wanted, F.col(row_id).eqNullSafe(F.col("id")) & (F.col("__tw_h") == F.col("h")), "left_semi").dropDuplicates([row_id, "__tw_h"])
-        of = staged(rows.select(text).mapInArrow(sets, schema), "sets")
-        both = pairs.join(of.toDF("b", "y"), "b").join(of.toDF("a", "x"), "a").withColumn("i", F.size(F.array_intersect("x", "y")))
-        return staged(both.where(F.col("i") >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("i")) - 1e-9).select("a", "b"), "similar")
-
+    verified = lambda pairs: _verified(pairs, docs, least, width, similarity, text, broadcast_rows)
     stars = staged(posts.where((F.col("s") > F.col("a")) & near(F.col("n"), F.col("an"))).select("a", F.col("s").alias("b")).distinct(), "stars")
     found = verified(stars)
     roots = components(found)
@@ -377,23 +430,24 @@ def similar_sets(docs: DataFrame, least: DataFrame, width: int, similarity: floa
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """One row of ``docs``, that of the least id, for each component of pairs whose shingle sets have the similarity or more.
 
-    Rows that share an id but not a text are told apart by a hash of the text; of rows alike in
+    Rows that share an id but not a text are told apart by a 128-bit hash of both; of rows alike in
     both, one stays. Rows with a null id stand for their group only where no row of it has an id.
     """
-    docs_h = fresh(docs, "__tw_h").withColumn("__tw_h", F.xxhash64(F.col(text)))
-    only = docs_h.select(row_id, text, "__tw_h")
+    names = ("__tw_0", "__tw_1")
+    hashed = fresh(docs, *names).withColumns({n: F.xxhash64(F.lit(k), F.col(row_id), F.lit(k), F.col(text)) for k, n in enumerate(names)})
+    only = hashed.select(row_id, text, *names)
 
     def keys(batches):
         for batch, data, offs in blocks(batches, text):
             h, at = _shingle_sets(data, offs, width)
             more = [_set_keys(h, at), np.diff(at), *np.ascontiguousarray(_parities(h, at).T)]
-            yield pa.RecordBatch.from_arrays([batch.column(row_id), batch.column("__tw_h"), *map(pa.array, more)], names=[row_id, "__tw_h", "s", "n", *BITS])
+            yield pa.RecordBatch.from_arrays([batch.column(row_id), *(batch.column(n) for n in names), *map(pa.array, more)], names=[row_id, *names, "s", "n", *BITS])
 
-    rows = only.mapInArrow(keys, f"`{row_id}` {only.schema[row_id].dataType.simpleString()}, __tw_h bigint, s bigint, n bigint, " + ", ".join(f"{p} bigint" for p in BITS))
-    first = F.min(F.struct(F.col(row_id).isNull().alias("none"), F.col(row_id).alias("id"), F.col("__tw_h").alias("h")))
+    rows = only.mapInArrow(keys, f"`{row_id}` {only.schema[row_id].dataType.simpleString()}, __tw_0 bigint, __tw_1 bigint, s bigint, n bigint, " + ", ".join(f"{p} bigint" for p in BITS))
+    first = F.min(F.struct(F.col(row_id).isNull().alias("none"), F.col(row_id).alias("id"), F.col("__tw_0").alias("r0"), F.col("__tw_1").alias("r1")))
     least = staged(rows.groupBy("s").agg(first.alias("m"), F.max("n").alias("n"), *[F.max(p).alias(p) for p in BITS]), "least")
-    roots = similar_sets(only, least, width, similarity, text, row_id)
+    roots = similar_sets(only, least, width, similarity, text)
     of = least.join(roots, F.col("s") == F.col("node"), "left").select("m", F.coalesce("root", "s").alias("root"))
-    kept = staged(of.groupBy("root").agg(F.min("m").alias("m")).select("m.id", "m.h"), "kept")
-    found = docs_h.join(kept, F.col(row_id).eqNullSafe(F.col("id")) & (F.col("__tw_h") == F.col("h")), "left_semi")
-    return found.dropDuplicates([row_id, "__tw_h"]).drop("__tw_h")
+    kept = staged(of.groupBy("root").agg(F.min("m").alias("m")).select(F.col("m.r0").alias("__tw_0"), F.col("m.r1").alias("__tw_1")), "kept")
+    # the join and what follows it are dealt by the same two columns: texts move once
+    return hashed.join(kept, list(names), "left_semi").dropDuplicates(list(names)).drop(*names)
