@@ -408,7 +408,8 @@ def similar_sets(docs: DataFrame, least: DataFrame, width: int, similarity: floa
 
     Candidates share a shingle of their prefixes (Chaudhuri et al. 2006), so that no pair is missed. First
     each set is compared with the least one at a shingle, then those with each other that are in different
-    components yet: a group of near copies costs its size, not its square. ``least`` (s, m, n, parities) has a row of each set.
+    components yet, if they share as many shingles of their prefixes as the similarity takes: a group of near
+    copies costs its size, not its square. ``least`` (s, m, n, parities) has a row of each set.
     """
     post = _prefixes(docs, width, similarity, text).repartition("k").distinct()  # one exchange, also for the window
     led = post.selectExpr("*", "min(struct(s, n)) OVER (PARTITION BY k) AS l", "max(s) OVER (PARTITION BY k) AS z").where("l.s < z")
@@ -423,7 +424,10 @@ def similar_sets(docs: DataFrame, least: DataFrame, width: int, similarity: floa
     apart = named.groupBy("k").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u < v").select("k")
     rest = staged(named.join(apart, "k", "left_semi"), "apart")
     x, y = rest.toDF("k", "a", "an", "ar"), rest.toDF("k", "b", "bn", "br")
-    pairs = x.join(y, "k").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & near(F.col("an"), F.col("bn"))).select("a", "b").distinct()
+    met = x.join(y, "k").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & near(F.col("an"), F.col("bn"))).groupBy("a", "b", "an", "bn").agg(F.count(F.lit(1)).alias("c"))
+    # shingles alike beyond the shorter-reaching prefix are at most those that follow it
+    after = F.ceil(F.lit(similarity) * F.greatest("an", "bn") - 1e-9) - 1
+    pairs = met.where(F.col("c") + after >= F.lit(similarity / (1 + similarity)) * (F.col("an") + F.col("bn")) - 1e-6).select("a", "b")
     return components(found.union(verified(pairs.join(stars, ["a", "b"], "left_anti"))))
 
 
