@@ -63,3 +63,22 @@ def test_empty_and_other_columns(spark):
     assert sd.remove_repeats(docs).count() == 0
     docs = spark.createDataFrame([(None, "a" * 500, 1), (None, None, 2)], "doc_id bigint, text string, n_bytes int")
     assert sorted((r["n_bytes"], r["n_removed"]) for r in sd.remove_repeats(docs).collect()) == [(0, 0), (500, 500)]
+
+
+def test_anchors_piece_by_piece():
+    rng = random.Random(9)
+    texts = [bytes(rng.choice(b"abcde") for _ in range(n)) for n in (3000, 150, 0, 1200)]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    prefix = sd.prefix_hash(data)
+    windows = lambda got: {s: p for a, b, p in zip(*(x.tolist() for x in got), strict=True) for s in range(a, b + 1)}
+    whole = windows(sd.anchors(data, offs, 200, prefix))
+    assert whole == windows(sd.anchors(data, offs, 200, prefix, piece=333)) and len(whole) == 2801 + 1001
+
+
+def test_one_text_thousands_of_times_and_near_copies(spark):
+    base = _texts()[0] + _texts()[1]
+    near = [base[: 5 * i] + "#" + base[5 * i + 1 :] for i in range(40)]
+    docs = spark.createDataFrame([(i, base) for i in range(5000)] + [(5000 + i, x) for i, x in enumerate(near)], "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in sd.remove_repeats(docs, hot=1000).collect()}
+    want = brute([base, base, *near], 200)
+    assert {got[i] for i in range(5000)} == {want[0]} and [got[5000 + i] for i in range(40)] == want[2:]

@@ -10,8 +10,9 @@ suffix array, so it is cut where equal strings meet:
    runs) can't be in a repeated window; nothing more is done about theirs.
 3. The windows of each remaining anchor are one segment. Segments go to the shard that their
    anchor's hash names; a shard so holds all windows that may equal each other. Segments that are
-   alike are sent once a block, and enter the suffix array twice at most. An anchor with more than
-   ``hot`` occurrences is spread further: its windows go by a hash of the window itself.
+   alike are sent once a block, and enter the suffix array twice at most. The windows of an anchor
+   with more than ``hot`` occurrences are cut into four segments by their distance from it, each dealt
+   by the bytes that all its windows have; beyond ``16 * hot``, each window goes by its own hash.
 4. Each shard's suffix array is built by two-stage sorting. Only the suffixes that are less than
    the ones after them are sorted directly; scanning the buckets of first bytes in ascending order
    puts each other suffix behind those of its bucket, by the order of its successor. Neighbours'
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._runs import buckets_for, pack, pack_keys, pieces, unpack, unpack_keys
-from ._shared import U64, prefix_hash, scratch, span_hash, staged, text_block
+from ._shared import U64, mix, prefix_hash, scratch, span_hash, staged, text_block
 
 GRAM = 32
 BLOCK = 1 << 20
@@ -205,15 +206,26 @@ _UP = bytes(min(b + 1, 255) for b in range(256))
 # ---------------------------------------------------------------- anchors and segments
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, least: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window start, and place, of each anchor of the texts in a block."""
+#: Bits of a place among the 64 of a hash and its place.
+PLACE = 28
+
+
+def anchors(data: np.ndarray, offs: np.ndarray, least: int, prefix: np.ndarray, piece: int = 1 << (PLACE - 1)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window start, and place, of each anchor of the texts in a block; a long block goes piece by piece."""
+    found = [_anchors(data, offs, least, prefix, at, min(len(data), at + piece + least - 1)) for at in range(0, max(len(data), 1), piece)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _anchors(whole: np.ndarray, offs: np.ndarray, least: int, prefix: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of the windows that lie in [begin, end) of a block."""
+    data, offs = whole[begin:end], np.clip(offs - begin, 0, end - begin)
     n, w = len(data), least - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < least:
         return none, none, none
     at = np.arange(n - GRAM + 1)
     # hash above, place below: of equal hashes the first place is least, in every copy of a window
-    h = (span_hash(prefix, at, at + GRAM) & ~U64((1 << 28) - 1)) | at.astype(np.uint64)
+    h = (span_hash(prefix, at + begin, at + begin + GRAM) & ~U64((1 << PLACE) - 1)) | at.astype(np.uint64)
     span, low = 1, h
     while span * 2 <= w:
         low = np.minimum(low[: len(low) - span], low[span:])
@@ -227,7 +239,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, least: int, prefix: np.ndarray)
     np.add.at(mark, offs[full], 1)
     np.add.at(mark, offs[full] + length[full] - least + 1, -1)
     ok = np.cumsum(mark[:-1])[:k] > 0
-    place = (low & U64((1 << 28) - 1)).astype(np.int64)
+    place = (low & U64((1 << PLACE) - 1)).astype(np.int64)
     start = np.flatnonzero(ok)
     if not len(start):
         return none, none, none
@@ -235,7 +247,32 @@ def anchors(data: np.ndarray, offs: np.ndarray, least: int, prefix: np.ndarray)
     cut = np.r_[True, (p[1:] != p[:-1]) | (start[1:] != start[:-1] + 1)]
     first = np.flatnonzero(cut)
     last = np.r_[first[1:], len(start)] - 1
-    return start[first], start[last], p[first]
+    return start[first] + begin, start[last] + begin, p[first] + begin
+
+
+def spread(f: np.ndarray, e: np.ndarray, place: np.ndarray, level: np.ndarray, anchor: np.ndarray, least: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and dealing hash of the segments of hot anchors with windows f to e.
+
+    Level 1: windows by their distance from the anchor, in four ranges; equal windows have equal
+    distances, and all windows of a range have its middle, by which it is dealt. Level 2: window by window.
+    """
+    wide = -(-(least - GRAM + 1) // 4)
+    starts, ends, hashes = [], [], []
+    one = np.flatnonzero(level == 1)
+    for g in range(4):
+        lo, hi = np.maximum(place - e, g * wide)[one], np.minimum(place - f, g * wide + wide - 1)[one]
+        k = one[lo <= hi]
+        middle = span_hash(prefix, place[k] - g * wide, place[k] - g * wide - wide + 1 + least)
+        starts.append((place[one] - hi)[lo <= hi])
+        ends.append((place[one] - lo + least)[lo <= hi])
+        with np.errstate(over="ignore"):
+            hashes.append(mix(anchor[k] + middle * U64(0x9E3779B97F4A7C15) + U64(g)))
+    f, e, anchor = f[level == 2], e[level == 2], anchor[level == 2]
+    n = e - f + 1
+    s = np.repeat(f, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    with np.errstate(over="ignore"):
+        hashes.append(np.repeat(anchor, n) + span_hash(prefix, s, s + least) * U64(0x9E3779B97F4A7C15))
+    return np.concatenate([*starts, s]), np.concatenate([*ends, s + least]), np.concatenate(hashes)
 
 
 def _block_rows(batches):
@@ -298,6 +335,8 @@ def remove_repeats(docs: DataFrame, least: int = 200, hot: int = 4096, text: str
     # bucketed by block, so that joining marks to blocks need not move the texts
     packed.write.bucketBy(max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block").sortBy("block").option("path", scratch(spark, "blocks")).saveAsTable(table)
     store = spark.table(table)
+    store.schema  # noqa: B018
+    spark.sql(f"DROP TABLE {table}")  # the plan has the files and their buckets; nothing is left in the catalog
     size = store.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     buckets = buckets_for(2 * size // (least - GRAM + 2), 1 << 18)
 
@@ -305,15 +344,17 @@ def remove_repeats(docs: DataFrame, least: int = 200, hot: int = 4096, text: str
         for row in _rows(batches):
             data, offs = _open(row)
             prefix = prefix_hash(data)
-            _, _, place = anchors(data, offs, least, prefix)
+            first, last, place = anchors(data, offs, least, prefix)
             key = span_hash(prefix, place, place + GRAM)
+            # a text has less than 2^31 bytes: the highest bit marks a segment's first occurrence in the block
+            place[np.unique(span_hash(prefix, first, last + least), return_index=True)[1]] |= 1 << 31
             order = np.argsort(key, kind="stable")
             key, place = key[order], place[order]
             got = [(b, row["block"].as_py(), k, v) for b, k, v in pieces(key, place, 64, buckets)]
             yield _table(got, pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("places", pa.binary())]))
 
     def find_repeated(key, t):
-        """Places of the anchors that occur twice or more, by block, with the binary logarithm of the shares of hot ones."""
+        """Places of the anchors that occur twice or more, by block, with their levels, and the bytes of their segments."""
         keys = [unpack_keys(x) for x in t.column("keys").to_pylist()]
         place = [unpack(x, np.uint32) for x in t.column("places").to_pylist()]
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
@@ -322,22 +363,21 @@ def remove_repeats(docs: DataFrame, least: int = 200, hot: int = 4096, text: str
         k = k[order]
         group = np.cumsum(np.r_[False, k[1:] != k[:-1]])
         n = np.bincount(group)[group]
-        again = order[n > 1]
-        parts = np.ceil(np.log2(np.maximum(n[n > 1] / hot, 1))).astype(np.uint8)
+        again, new, p = order[n > 1], p >> 31, p & np.uint32((1 << 31) - 1)
+        parts = (n[n > 1] > hot).astype(np.uint8) + (n[n > 1] > 16 * hot)
         by = np.lexsort((p[again], owner[again]))
         again, parts = again[by], parts[by]
         blocks = t.column("block").to_pylist()
         cut = np.flatnonzero(np.r_[True, owner[again][1:] != owner[again][:-1]]) if len(again) else []
-        got = [(blocks[owner[again[x]]], pack(p[again[x:y]].astype(np.uint32)), pack(parts[x:y])) for x, y in zip(cut, [*cut[1:], len(again)], strict=True)] if len(again) else []
-        return pa.Table.from_batches([_table(got, _MARK)])
+        got = [(blocks[owner[again[x]]], pack(p[again[x:y]].astype(np.uint32)), pack(parts[x:y]), int((cost[parts[x:y]] * new[again[x:y]]).sum())) for x, y in zip(cut, [*cut[1:], len(again)], strict=True)] if len(again) else []
+        return pa.Table.from_batches([_table(got, _MARK.append(pa.field("bytes", pa.int64())))])
 
-    marks = "block bigint, at binary, n binary"
+    marks, w = "block bigint, at binary, n binary", least - GRAM + 1
+    cost = np.array([least + w // 2, 4 * least + w, w * least])
     runs = store.select("block", "offs", "data").mapInArrow(count_anchors, "bucket int, block bigint, keys binary, places binary")
-    repeated = staged(runs.groupBy("bucket").applyInArrow(find_repeated, marks), "anchors")
+    repeated = staged(runs.groupBy("bucket").applyInArrow(find_repeated, marks + ", bytes bigint"), "anchors")
     gathered = repeated.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
-    # windows to sort: about (least - GRAM) / 2 for each repeated anchor
-    found = repeated.agg(F.coalesce(F.sum(F.octet_length("at")), F.lit(0))).first()[0] // 3
-    shards = max(8, min(1 << 20, found * (least + (least - GRAM) // 2) // SHARD))
+    shards = max(8, min((1 << 31) - 1, repeated.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // SHARD))
 
     def cut_segments(batches):
         for row in _rows(batches):
@@ -355,14 +395,8 @@ def remove_repeats(docs: DataFrame, least: int = 200, hot: int = 4096, text: str
             shard = span_hash(prefix, place, place + GRAM)
             cold = part == 0
             seg_s, seg_e, seg_h = first[cold], last[cold] + least, shard[cold]
-            if (~cold).any():  # one segment for each window of a hot anchor, dealt by the window too
-                f, e = first[~cold], last[~cold]
-                n = e - f + 1
-                s = np.repeat(f, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                own = span_hash(prefix, s, s + least) & ((U64(1) << np.repeat(part[~cold], n).astype(np.uint64)) - U64(1))
-                with np.errstate(over="ignore"):
-                    h = np.repeat(shard[~cold], n) + own * U64(0x9E3779B97F4A7C15)
-                seg_s, seg_e, seg_h = np.r_[seg_s, s], np.r_[seg_e, s + least], np.r_[seg_h, h]
+            more = spread(first[~cold], last[~cold], place[~cold], part[~cold], shard[~cold], least, prefix)
+            seg_s, seg_e, seg_h = np.r_[seg_s, more[0]], np.r_[seg_e, more[1]], np.r_[seg_h, more[2]]
             content = span_hash(prefix, seg_s, seg_e)
             to = (seg_h % U64(shards)).astype(np.int64)
             order = np.lexsort((seg_s, content, to))
