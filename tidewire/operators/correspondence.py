@@ -141,6 +141,11 @@ def summary(scores: DataFrame) -> DataFrame:
     return g.select("dim", "n", deciles.alias("deciles"), "middle", "lowest", "highest")
 
 
+def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Positions with all of the ``amp`` axes replaced by the new ones; other axes stay."""
+    return old.where(~F.col("axis").startswith("amp")).unionByName(new)
+
+
 def degenerate(agree: float, middle: float) -> bool:
     """The first dimension only tells two blocks apart: use the second."""
     return agree > 0.95 and middle < 0.05

@@ -36,8 +36,9 @@ def sightings(events: DataFrame, author_tier: str = "C") -> DataFrame:
 
 
 def raw_archive(events: DataFrame, run_id: int, deleted: DataFrame | None = None) -> DataFrame:
-    """(run_id, platform, post_uid, payload): the last payload of each post in the run; posts known as deleted are not archived again."""
-    r = events.where("kind = 'post' AND raw IS NOT NULL").groupBy("platform", "post_uid").agg(F.max_by("raw", "cursor").alias("payload")).select(F.lit(run_id).alias("run_id"), "platform", "post_uid", "payload")
+    """(run_id, platform, post_uid, payload, occurred_at): the last payload of each post in the run; posts known as deleted are not archived again."""
+    last = events.where("kind = 'post' AND raw IS NOT NULL").groupBy("platform", "post_uid").agg(F.max_by("raw", "cursor").alias("payload"), F.max_by("occurred_at", "cursor").alias("occurred_at"))
+    r = last.select(F.lit(run_id).alias("run_id"), "platform", "post_uid", "payload", "occurred_at")
     return r if deleted is None else r.join(deleted, ["platform", "post_uid"], "left_anti")
 
 
@@ -54,6 +55,34 @@ def apply_deletes(posts: DataFrame, raw: DataFrame, dead: DataFrame) -> tuple[Da
     return p, raw.join(dead, ["platform", "post_uid"], "left_anti"), unknown
 
 
+def active(posts: DataFrame) -> DataFrame:
+    """Posts that were not deleted."""
+    return posts.where("deleted_at IS NULL")
+
+
+RUN = "run_id int, status string, frame string, items int, cost_usd double"
+
+
+def open_run(runs: DataFrame | None, spark, run_id: int, frame: str | None) -> DataFrame:
+    """``runs`` with one more, open, and what it set out to cover."""
+    new = spark.createDataFrame([(run_id, "open", frame, 0, 0.0)], RUN)
+    return new if runs is None else runs.unionByName(new)
+
+
+def close_run(runs: DataFrame, run_id: int, status: str, items: int, cost_usd: float, frame: str | None = None) -> DataFrame:
+    """``runs`` with one closed, failed ones with what they cost till then; without a new frame the opening one stays."""
+    if status not in ("ok", "partial", "failed"):
+        raise ValueError(f"unknown status {status!r}")
+    new = {"status": F.lit(status), "items": F.lit(items), "cost_usd": F.lit(cost_usd), "frame": F.coalesce(F.lit(frame).cast("string"), F.col("frame"))}
+    return runs.withColumns({c: F.when(F.col("run_id") == run_id, x).otherwise(F.col(c)) for c, x in new.items()})
+
+
+def merge_cursors(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The cursors of all sources and accounts, each the further of both."""
+    far = F.max_by("cursor", F.struct(F.length("cursor"), "cursor"))
+    return old.unionByName(new).groupBy("source", "account").agg(far.alias("cursor"))
+
+
 def cursors(events: DataFrame, source: str) -> DataFrame:
     """(source, account, cursor): the furthest of each account."""
     far = F.max_by("cursor", F.struct(F.length("cursor"), "cursor"))
@@ -72,4 +101,4 @@ def snapshots(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("actor_id", F.to_date("seen_at").alias("snapshot_date")).agg(F.max_by(s, "seen_at").alias("s")).select("actor_id", "snapshot_date", "s.*")
 
 
-__all__ = ["apply_deletes", "counters", "cursors", "new_interactions", "new_posts", "raw_archive", "sightings", "snapshots", "tombstones", "upsert"]
+__all__ = ["active", "apply_deletes", "close_run", "merge_cursors", "open_run", "counters", "cursors", "new_interactions", "new_posts", "raw_archive", "sightings", "snapshots", "tombstones", "upsert"]

@@ -39,6 +39,12 @@ def file_label(name: Column) -> Column:
     return F.when(part(2) != "", F.struct(part(1).try_cast("date").alias("day"), part(2).alias("label")))
 
 
+def between(names: DataFrame, column: str, first: str, last: str) -> DataFrame:
+    """``names`` with the day and label of each file, of those from ``first`` to ``last``, both included; undated ones are left out."""
+    named = names.withColumn("__l", file_label(F.col(column)))
+    return named.withColumns({"day": F.col("__l.day"), "label": F.col("__l.label")}).drop("__l").where(F.col("day").between(first, last))
+
+
 def _value(text) -> object:
     try:
         return ast.literal_eval(text) if isinstance(text, str) else None

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewire.functions.times import week_start
 from tidewire.operators import edges, ingest
+from tidewire.operators.tables import staged
 from tidewire.sources import firehose
 
 
@@ -22,20 +23,50 @@ def _table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def land(batch: DataFrame, out: str) -> None:
+def forget(spark: SparkSession, out: str, dead: DataFrame) -> int:
+    """Take texts and payloads of the posts in ``dead`` (platform, post_uid, gone_at) out of the tables; how many posts were not known.
+
+    Weeks with such a post are written to the side and then put in place of what was there.
+    """
+    unknown = 0
+    for table in ("post", "raw"):
+        old = _table(spark, f"{out}/{table}")
+        if old is None:
+            return dead.count()
+        weeks = [r[0] for r in old.join(dead, ["platform", "post_uid"], "left_semi").select("window_start").distinct().collect()]  # a week a row
+        old = old.where(F.col("window_start").isin(weeks))
+        if table == "post":
+            unknown = dead.join(old, ["platform", "post_uid"], "left_anti").count()
+            new = ingest.apply_deletes(old, old.select("platform", "post_uid"), dead)[0].select(*old.columns)
+        else:
+            hit = F.col("gone_at").isNotNull()
+            new = old.join(dead, ["platform", "post_uid"], "left").withColumn("payload", F.when(~hit, F.col("payload"))).select(*old.columns)
+        if weeks:
+            staged(new, "forget").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_start").parquet(f"{out}/{table}")
+    return unknown
+
+
+def land(batch: DataFrame, out: str, batch_id: int = 0) -> None:
     """One micro-batch: new posts and interactions are appended, the weeks they touch are counted again as wholes.
 
     A batch may come twice: what is there already isn't added again, and a week's edges are replaced
-    by the same edges.
+    by the same edges. Deleted posts lose their text and their raw payloads, in the weeks that have any
+    of them; their edges stay. ``run`` has a row of each batch, with deletes of posts that are not known.
     """
     spark = batch.sparkSession
     events = batch.persist()
     posts, inter = _table(spark, f"{out}/post"), _table(spark, f"{out}/interaction")
     new = ingest.new_interactions(events, inter).withColumn("window_start", week_start(F.col("occurred_at"))).persist()
-    ingest.new_posts(events, posts).write.mode("append").parquet(f"{out}/post")
+    fresh = ingest.new_posts(events, posts).withColumn("window_start", week_start(F.col("created_at"))).persist()
+    counted = ingest.counters(events, fresh).withColumns({"batch": F.lit(batch_id), "unknown_deletes": F.lit(0).cast("bigint")})
+    fresh.write.mode("append").partitionBy("window_start").parquet(f"{out}/post")
+    ingest.raw_archive(events, batch_id).withColumn("window_start", week_start(F.col("occurred_at"))).write.mode("append").partitionBy("window_start").parquet(f"{out}/raw")
     dead = ingest.tombstones(events)
     if not dead.isEmpty():
         dead.write.mode("append").parquet(f"{out}/tombstone")
+        counted = counted.withColumn("unknown_deletes", F.lit(forget(spark, out, dead)).cast("bigint"))
+    counted.write.mode("append").parquet(f"{out}/run")
+    fresh.unpersist()
     ingest.sightings(events).select("platform", "uid", "handle", "display_name", "bio", "tier", "seen_at").write.mode("append").parquet(f"{out}/sighting")
     weeks = [r[0] for r in events.where("kind = 'post'").select(week_start(F.col("occurred_at")).alias("w")).distinct().collect()]
     new.write.mode("append").partitionBy("window_start").parquet(f"{out}/interaction")
@@ -46,13 +77,14 @@ def land(batch: DataFrame, out: str) -> None:
     events.unpersist()
 
 
-def start(spark: SparkSession, source_dir: str, out: str, checkpoint: str, delay: str = "30 days", files_per_batch: int = 100) -> StreamingQuery:
-    """Run over the files there are, remembering where it was: one checkpoint folder for each source."""
+def start(spark: SparkSession, source_dir: str, out: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
+    """Run over the files there are, remembering where it was: one checkpoint folder for each source.
+
+    No watermark: an event is taken however late it is, and the tables tell repeats.
+    """
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(source_dir)
     events = firehose.normalize(firehose.parse(lines))
-    # the watermark bounds what repeats are remembered, not what is let in: the tables do the rest
-    once = events.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(["platform", "post_uid", "kind", "actor_uid", "cursor"])
-    return once.writeStream.foreachBatch(lambda df, _: land(df, out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(lambda df, k: land(df, out, k)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def weekly_counts(events: DataFrame, delay: str = "7 days") -> DataFrame:
