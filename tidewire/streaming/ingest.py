@@ -58,14 +58,15 @@ def land(batch: DataFrame, out: str, batch_id: int = 0) -> None:
     posts, inter = _table(spark, f"{out}/post"), _table(spark, f"{out}/interaction")
     new = ingest.new_interactions(events, inter).withColumn("window_start", week_start(F.col("occurred_at"))).persist()
     fresh = ingest.new_posts(events, posts).withColumn("window_start", week_start(F.col("created_at"))).persist()
-    counted = ingest.counters(events, fresh).withColumns({"batch": F.lit(batch_id), "unknown_deletes": F.lit(0).cast("bigint")})
+    counted = ingest.counters(events, fresh).first().asDict()  # before the posts are written: what reads them is computed anew then
     fresh.write.mode("append").partitionBy("window_start").parquet(f"{out}/post")
     ingest.raw_archive(events, batch_id).withColumn("window_start", week_start(F.col("occurred_at"))).write.mode("append").partitionBy("window_start").parquet(f"{out}/raw")
-    dead = ingest.tombstones(events)
+    dead, unknown = ingest.tombstones(events), 0
     if not dead.isEmpty():
         dead.write.mode("append").parquet(f"{out}/tombstone")
-        counted = counted.withColumn("unknown_deletes", F.lit(forget(spark, out, dead)).cast("bigint"))
-    counted.write.mode("append").parquet(f"{out}/run")
+        unknown = forget(spark, out, dead)
+    row = {"batch": batch_id, **counted, "unknown_deletes": unknown}
+    spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} bigint" for c in row)).write.mode("append").parquet(f"{out}/run")
     fresh.unpersist()
     ingest.sightings(events).select("platform", "uid", "handle", "display_name", "bio", "tier", "seen_at").write.mode("append").parquet(f"{out}/sighting")
     weeks = [r[0] for r in events.where("kind = 'post'").select(week_start(F.col("occurred_at")).alias("w")).distinct().collect()]
