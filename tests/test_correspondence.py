@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 def test_correspondence_queries_use_every_cell(spark):
     queries = __spark_entry__.queries()
     whole = correspondence.prune(A.amplification(spark, SF))
-    assert sorted(queries["M2_prune_whole"](spark, SF).select("src", "dst").collect()) == sorted(whole.select("src", "dst").collect())
+    assert sorted(queries["M2_prune"](spark, SF).select("src", "dst").collect()) == sorted(whole.select("src", "dst").collect())
     table, coverage = correspondence.largest_component(whole)
     assert queries["M3_coverage"](spark, SF).collect() == coverage.collect()
     actors = {r[0] for r in table.select("src").union(table.select("dst")).distinct().collect()}

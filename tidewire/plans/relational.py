@@ -419,35 +419,36 @@ def strength(spark, d):
     return E.strengths(_edges(spark, d)).withColumns(_r("in_strength", "out_strength"))
 
 
-def _t0(spark, d):
-    return E.view_edges(E.aggregate(A.interactions(spark, d), ["T0"], "2024-01-08"))
+E0 = C + ", e0 AS (SELECT window_start AS w, src, dst, weight FROM edge)"
+_PRUNE = "".join(f", k{i} AS (SELECT w, v FROM (SELECT w, src AS v, weight FROM e{i} UNION ALL SELECT w, dst, weight FROM e{i}) GROUP BY ALL HAVING round(sum(weight), 9) >= 2), e{i + 1} AS (SELECT * FROM e{i} WHERE (w, src) IN (SELECT (w, v) FROM k{i}) AND (w, dst) IN (SELECT (w, v) FROM k{i}))" for i in range(12))
 
 
-T0 = C + ", e0 AS (SELECT src, dst, sum(w) AS weight FROM interaction JOIN vw USING (kind) WHERE view_ = 'amp' AND label = 'T0' AND window_start = DATE '2024-01-08' GROUP BY ALL)"
-_PRUNE = "".join(f", k{i} AS (SELECT v FROM (SELECT src AS v, weight FROM e{i} UNION ALL SELECT dst, weight FROM e{i}) GROUP BY v HAVING round(sum(weight), 9) >= 2), e{i + 1} AS (SELECT * FROM e{i} WHERE src IN (SELECT v FROM k{i}) AND dst IN (SELECT v FROM k{i}))" for i in range(12))
-
-
-@query("K2_core", T0 + _PRUNE + " SELECT DATE '2024-01-08' AS window_start, src, dst, round(weight, 6) AS weight FROM e12")
+@query("K2_core", E0 + _PRUNE + " SELECT w AS window_start, src, dst, round(weight, 6) AS weight FROM e12")
 def core(spark, d):
-    return G.core(_t0(spark, d)).withColumns(_r("weight"))
+    return G.core(_edges(spark, d)).withColumns(_r("weight"))
 
 
-COMP = T0.replace("WITH ", "WITH RECURSIVE ", 1) + ", u AS (SELECT src AS x, dst AS y FROM e0 UNION SELECT dst, src FROM e0), reach(v, r) AS (SELECT x, x FROM u UNION SELECT u.y, reach.r FROM reach JOIN u ON u.x = reach.v), cc AS (SELECT v AS actor_id, min(r) AS component FROM reach GROUP BY v)"
+COMP = E0.replace("WITH ", "WITH RECURSIVE ", 1) + ", u AS (SELECT w, src AS x, dst AS y FROM e0 UNION SELECT w, dst, src FROM e0), reach(w, v, r) AS (SELECT w, x, x FROM u UNION SELECT u.w, u.y, reach.r FROM reach JOIN u ON u.x = reach.v AND u.w = reach.w), cc AS (SELECT w, v AS actor_id, min(r) AS component FROM reach GROUP BY ALL)"
 
 
-@query("K10_components", COMP + " SELECT DATE '2024-01-08' AS window_start, actor_id, component FROM cc")
+@query("K10_components", COMP + " SELECT w AS window_start, actor_id, component FROM cc")
 def components(spark, d):
-    return G.components(_t0(spark, d))
+    return G.components(_edges(spark, d))
 
 
-@query("K10_component_stats", COMP + ", s AS (SELECT component, count(*) AS n FROM cc GROUP BY ALL) SELECT DATE '2024-01-08' AS window_start, count(*) AS components, max(n) AS largest, round(max(n) / sum(n), 6) AS core_share, count(*) FILTER (n <= 3) AS trivial FROM s")
+@query("K10_component_stats", COMP + ", s AS (SELECT w, component, count(*) AS n FROM cc GROUP BY ALL) SELECT w AS window_start, count(*) AS components, max(n) AS largest, round(max(n) / sum(n), 6) AS core_share, count(*) FILTER (n <= 3) AS trivial FROM s GROUP BY w")
 def component_stats(spark, d):
-    return G.component_stats(G.components(_t0(spark, d))).withColumns(_r("core_share"))
+    return G.component_stats(G.components(_edges(spark, d))).withColumns(_r("core_share"))
+
+
+RANK = """, nd AS (SELECT w, v, 1.0::DOUBLE / count(*) OVER (PARTITION BY w) AS share FROM (SELECT w, src AS v FROM e0 UNION SELECT w, dst FROM e0)), p AS (SELECT w, src, dst, weight / sum(weight) OVER (PARTITION BY w, src) AS p FROM e0),
+sink AS (SELECT w, v FROM nd WHERE (w, v) NOT IN (SELECT (w, src) FROM e0)), it(i, w, v, r) AS (SELECT 0, w, v, share FROM nd UNION ALL
+SELECT min(x.i) + 1, x.w, x.v, any_value(0.15 * nd.share) + 0.85 * sum(x.m) FROM (SELECT it.i, it.w, p.dst AS v, it.r * p.p AS m FROM it JOIN p ON it.w = p.w AND it.v = p.src UNION ALL SELECT it.i, it.w, nd.v, it.r * nd.share FROM it JOIN sink ON it.w = sink.w AND it.v = sink.v JOIN nd ON nd.w = it.w UNION ALL SELECT i, w, v, 0.0 FROM it) x JOIN nd ON nd.w = x.w AND nd.v = x.v WHERE x.i < 100 GROUP BY x.w, x.v)"""
 
 
-@query("K4_pagerank")
+@query("K4_pagerank", E0.replace("WITH ", "WITH RECURSIVE ", 1) + RANK + " SELECT w AS window_start, v AS actor_id, round(r, 6) AS pagerank FROM it WHERE i = 100")
 def pagerank(spark, d):
-    return G.pagerank(_t0(spark, d)).withColumns(_r("pagerank"))
+    return G.pagerank(_edges(spark, d)).withColumns(_r("pagerank"))
 
 
 @query("F1_top_per_community", C + METRICS + ", r AS (SELECT window_start, community_id, m.actor_id, round(value, 6) AS value, row_number() OVER (PARTITION BY window_start, community_id ORDER BY round(value, 6) DESC, m.actor_id) AS rank FROM m JOIN part p ON p.actor_id = m.actor_id WHERE metric = 'in_strength') SELECT * FROM r WHERE rank <= 3")

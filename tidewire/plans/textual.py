@@ -79,16 +79,18 @@ def labels(spark, d):
     return text.community_labels(chosen, manual)
 
 
-@query("N11_D16_term_links", C + r""", r AS (SELECT DISTINCT post_id, unnest(regexp_extract_all(strip_accents(lower(text)), '#?[a-z0-9_]+')) AS term FROM post WHERE length(text) < 700),
+@query("N11_D16_term_links", C + r""", r AS (SELECT DISTINCT post_id, unnest(regexp_extract_all(strip_accents(lower(text)), '#?[a-z0-9_]+')) AS term FROM post),
 t AS (SELECT * FROM r WHERE (term LIKE '#%%' AND length(term) > 2) OR (regexp_full_match(term, '[0-9]+') AND length(term) = 4) OR (NOT regexp_full_match(term, '[0-9]+') AND length(term) > 3 AND NOT list_contains(%s, term))),
-o AS (SELECT * FROM t WHERE term IN (SELECT term FROM t GROUP BY term HAVING count(*) >= 2)) SELECT x.term AS a, y.term AS b, count(*) AS weight FROM o x JOIN o y ON x.post_id = y.post_id AND x.term < y.term GROUP BY ALL""" % _list(words.EMPTY))
+o AS (SELECT * FROM t WHERE term IN (SELECT term FROM t GROUP BY term HAVING count(*) >= 2)), l AS (SELECT x.term AS a, y.term AS b, count(*) AS weight FROM o x JOIN o y ON x.post_id = y.post_id AND x.term < y.term GROUP BY ALL) SELECT a, count(*) AS links, sum(weight)::BIGINT AS weight, max(weight) AS strongest FROM l GROUP BY a""" % _list(words.EMPTY))
 def term_links(spark, d):
-    return text.term_links(text.post_terms(A.posts(spark, d).where("length(text) < 700")))
+    links = text.term_links(text.post_terms(A.posts(spark, d)))
+    return links.groupBy("a").agg(F.count(F.lit(1)).alias("links"), F.sum("weight").alias("weight"), F.max("weight").alias("strongest"))
 
 
 @query("N11_themes")
 def themes(spark, d):
-    return text.propose_themes(A.posts(spark, d).where("length(text) < 400"))[0].select("label", "posts", "status")
+    items = A.read(spark, d, "benchmark").select(F.col("item_id").alias("post_id"), "text")  # short texts, as posts are
+    return text.propose_themes(items)[0].select("label", "posts", "status")
 
 
 @query("I1_I3_J5_weeks", "SELECT event_id, CAST(date_trunc('week', ts) AS DATE) AS week, CAST(date_trunc('week', ts) + INTERVAL 7 DAY AS DATE) AS ends, strftime(ts, '%Y-%W') AS year_week, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
@@ -127,13 +129,8 @@ def bipartite(spark, d):
     return A.amplification(spark, d)
 
 
-@query("M2_prune", AMP + "".join(f", r{i} AS (SELECT src FROM t{i} GROUP BY src HAVING count(*) >= 2), h{i} AS (SELECT * FROM t{i} WHERE src IN (SELECT src FROM r{i})), t{i + 1} AS (SELECT * FROM h{i} WHERE dst IN (SELECT dst FROM h{i} GROUP BY dst HAVING count(*) >= 2))" for i in range(4)).replace(", r0", ", t0 AS (SELECT * FROM amp WHERE (src + dst) % 40 = 0), r0", 1) + " SELECT * FROM t4")
+@query("M2_prune", AMP + "".join(f", r{i} AS (SELECT src FROM t{i} GROUP BY src HAVING count(*) >= 2), h{i} AS (SELECT * FROM t{i} WHERE src IN (SELECT src FROM r{i})), t{i + 1} AS (SELECT * FROM h{i} WHERE dst IN (SELECT dst FROM h{i} GROUP BY dst HAVING count(*) >= 2))" for i in range(4)).replace(", r0", ", t0 AS (SELECT * FROM amp), r0", 1) + " SELECT * FROM t4")
 def prune(spark, d):
-    return correspondence.prune(A.amplification(spark, d).where("(src + dst) % 40 = 0"))
-
-
-@query("M2_prune_whole")
-def prune_whole(spark, d):
     return correspondence.prune(A.amplification(spark, d))
 
 
