@@ -10,8 +10,8 @@ they are under ``broadcast_bytes``, beyond it as files of the shared folder that
 memory; results are the same.
 
 Score: log10 of lambda * c(h, w) / c(h) + (1 - lambda) * (c(w) + 1) / (N + V + 1), where lambda
-depends on the magnitude of c(h) and is the best of a grid for left-out occurrences in a bounded
-sample of training documents (``sample_docs``). The history of a document's first word is the end
+depends on the magnitude of c(h) and is the best of a grid for left-out occurrences in all training
+documents. The history of a document's first word is the end
 token.
 
 Defined cases: a null text is empty, one end token; a null id is never held out; without training
@@ -128,7 +128,11 @@ class Model:
         kind, h = self.kind(hist), np.maximum(hist - 1, 1)
         c2 = np.where(c2 > self.least, c2 - 1, 0)
         p1, p2 = (c + 1) / (self.n + self.v), np.minimum(c2 / h, 1.0)
-        return np.stack([np.bincount(kind, np.log10(g * p2 + (1 - g) * p1), CLASSES) for g in GRID], axis=1)
+        # a pair without counts adds log10(1 - g) + log10(p1): only the others need each g
+        no, yes = p2 == 0, np.flatnonzero(p2 > 0)
+        n0, s0 = np.bincount(kind[no], minlength=CLASSES), np.bincount(kind[no], np.log10(p1[no]), CLASSES)
+        kind, p1, p2 = kind[yes], p1[yes], p2[yes]
+        return np.stack([n0 * np.log10(1 - g) + s0 + np.bincount(kind, np.log10(g * p2 + (1 - g) * p1), CLASSES) for g in GRID], axis=1)
 
 
 def _save(path: str, name: str, a: np.ndarray) -> None:
@@ -209,10 +213,8 @@ def train(docs: DataFrame, text: str = "text", least: int = 2, base: float = 1.5
     return Model(arrays, least, base, key_bits)
 
 
-def fit_lambdas(docs: DataFrame, model: Model, held: _Held, text: str, row_id: str, sample_docs: int, n_docs: int) -> np.ndarray:
-    """The grid value of each history class that leaves the sample's left-out tokens likeliest."""
-    part = min(1.0, sample_docs / max(n_docs, 1))
-    sample = docs.where(F.pmod(F.xxhash64(F.lit(5), F.col(row_id).cast("string"), F.col(text)), F.lit(1 << 20)) < int(part * (1 << 20)))
+def fit_lambdas(docs: DataFrame, held: _Held, text: str) -> np.ndarray:
+    """The grid value of each history class that leaves the left-out tokens of ``docs`` likeliest."""
 
     def work(batches):
         total = np.zeros((CLASSES, len(GRID)))
@@ -223,20 +225,19 @@ def fit_lambdas(docs: DataFrame, model: Model, held: _Held, text: str, row_id: s
         yield pa.RecordBatch.from_pydict({"i": i.ravel(), "j": j.ravel(), "x": total.ravel()})
 
     total = np.zeros((CLASSES, len(GRID)))
-    for i, j, x in sample.select(text).mapInArrow(work, "i bigint, j bigint, x double").groupBy("i", "j").agg(F.sum("x")).collect():
+    for i, j, x in docs.select(text).mapInArrow(work, "i bigint, j bigint, x double").groupBy("i", "j").agg(F.sum("x")).collect():
         total[i, j] = x
     return GRID[np.where(total.any(axis=1), total.argmax(axis=1), 0)]
 
 
-def score(docs: DataFrame, training: DataFrame, text: str = "text", row_id: str = "doc_id", least: int = 2, base: float = 1.5, sample_docs: int = 2000, broadcast_bytes: int = 512 << 20) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, text: str = "text", least: int = 2, base: float = 1.5, broadcast_bytes: int = 512 << 20) -> DataFrame:
     """``docs`` with n_tokens, n_known, train_tokens, base_score and score, by a model of ``training``."""
     docs = fresh(docs, "n_tokens", "n_known", "train_tokens", "base_score", "score")
     sc, path = docs.sparkSession.sparkContext, scratch(docs.sparkSession, "lm")
     model = train(training, text, least, base)
     model.lambdas = np.zeros(CLASSES)
-    n_docs = int(model.word_counts(np.array([END]))[0])
     held = _Held(sc, model, path, broadcast_bytes)
-    lambdas = fit_lambdas(training, model, held, text, row_id, sample_docs, n_docs)
+    lambdas = fit_lambdas(training, held, text)
     held.rest = (*held.rest[:3], lambdas)
     n = model.n
     del model
