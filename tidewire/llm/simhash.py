@@ -408,8 +408,9 @@ def similar_sets(docs: DataFrame, least: DataFrame, width: int, similarity: floa
 
     Candidates share a shingle of their prefixes (Chaudhuri et al. 2006), so that no pair is missed. First
     each set is compared with the least one at a shingle, then those with each other that are in different
-    components yet, if they share as many shingles of their prefixes as the similarity takes: a group of near
-    copies costs its size, not its square. ``least`` (s, m, n, parities) has a row of each set.
+    components yet, if they share as many shingles of their prefixes as the similarity takes. Sets in one component
+    are not compared again; sets that stay apart and share a prefix shingle are, pair by pair, which grows with
+    the square of such a group. ``least`` (s, m, n, parities) has a row of each set.
     """
     post = _prefixes(docs, width, similarity, text).repartition("k").distinct()  # one exchange, also for the window
     led = post.selectExpr("*", "min(struct(s, n)) OVER (PARTITION BY k) AS l", "max(s) OVER (PARTITION BY k) AS z").where("l.s < z")
