@@ -28,9 +28,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._runs import pack, pack_keys, pieces, unpack, unpack_keys
 from ._shared import LOWER, SPACED, U64, blocks, fresh, mix, prefix_hash, span_hash, staged, word_spans
 
 
@@ -296,26 +298,65 @@ def _parities(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 BITS = [f"p{i}" for i in range(8)]
 
 
-def _common(docs: DataFrame, width: int, text: str, often: int = 4, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that some block has often, ascending, with their counts: they go last in the order of shingles, which is right for any counts."""
+def _levels(docs: DataFrame, width: int, text: str, bits: int = 24, slices: int = 64) -> np.ndarray:
+    """How often shingles of each of 2**bits buckets occur, in eighths of a doubling: what orders shingles, rare ones first.
 
-    def work(batches):
+    Any order of shingles is right, so buckets that shingles share cost candidates, never links. Each block
+    sends its buckets in packed slices; slices are added up for every 256 tasks, then over all: the size of
+    the result is fixed.
+    """
+    low = (1 << bits) // slices
+
+    def rows(p, t, k, n):
+        return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(t, pa.int32()), pa.array(k, pa.binary()), pa.array(n, pa.binary())], names=["p", "t", "k", "n"])
+
+    def count(batches):
+        t = TaskContext.get().partitionId() >> 8
         for _, data, offs in blocks(batches, text):
-            h, n = np.unique(_shingle_sets(data, offs, width)[0], return_counts=True)
-            yield pa.RecordBatch.from_pydict({"h": h[n >= often].view(np.int64), "n": n[n >= often]})
+            at, n = np.unique(_bucket(_shingle_sets(data, offs, width)[0], bits), return_counts=True)
+            got = list(pieces(at, n, bits, slices))
+            if got:
+                p, k, c = zip(*got, strict=True)
+                yield rows(p, [t] * len(p), k, c)
+
+    def summed(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, k, n in zip(*(batch.column(c).to_pylist() for c in ("p", "k", "n")), strict=True):
+                at, n = unpack_keys(k).astype(np.int64) - p * low, unpack(n, np.uint32)
+                sums.setdefault(p, np.zeros(low, np.int64))[at] += n
+        return sums
 
-    got = docs.select(text).mapInArrow(work, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).toArrow()
-    h, n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+    def add(batches):
+        for p, a in summed(batches).items():
+            at = np.flatnonzero(a)
+            yield rows([p], [0], [pack_keys((at + p * low).astype(np.uint64))], [pack(np.minimum(a[at], (1 << 32) - 1).astype(np.uint32))])
+
+    def level(batches):
+        for p, a in summed(batches).items():
+            steps = np.minimum(np.rint(8 * np.log2(1 + a)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([steps.tobytes()], pa.binary())], names=["p", "x"])
+
+    schema = "p int, t int, k binary, n binary"
+    parts = docs.select(text).mapInArrow(count, schema).repartition("p", "t").mapInArrow(add, schema)
+    got = parts.repartition("p").mapInArrow(level, "p int, x binary").toArrow()
+    out = np.zeros((slices, low), np.uint8)
+    for p, x in zip(got.column("p").to_pylist(), got.column("x").to_pylist(), strict=True):
+        out[p] = np.frombuffer(x, np.uint8)
+    return out.ravel()
+
+
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return mix(h ^ U64(0xC2B2AE3D27D4EB4F)) >> U64(64 - bits)
 
 
 def _prefixes(docs: DataFrame, width: int, similarity: float, text: str) -> DataFrame:
-    """(k, s, n): the first shingles, rare ones first, of each set s of n shingles: two sets of the similarity share one of them."""
-    held = docs.sparkSession.sparkContext.broadcast(_common(docs, width, text))
+    """(k, s, n, i): the first shingles, rare ones first, of each set s of n shingles, and their places i from 0."""
+    held = docs.sparkSession.sparkContext.broadcast(_levels(docs, width, text))
 
     def work(batches):
-        known, counts = held.value
+        levels = held.value
+        bits = len(levels).bit_length() - 1
         seen: set[int] = set()
         for _, data, offs in blocks(batches, text):
             h, at = _shingle_sets(data, offs, width)
@@ -323,14 +364,14 @@ def _prefixes(docs: DataFrame, width: int, similarity: float, text: str) -> Data
             keys = _set_keys(h, at)
             new = np.array([not (x in seen or seen.add(x)) for x in keys.tolist()])  # a task sends a set once
             doc = np.repeat(np.arange(len(size)), size)
-            k = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-            common = np.where(known[k] == h, counts[k], 0) if len(known) else np.zeros(len(h), np.int64)
-            order = np.lexsort((h, common, doc))
+            order = np.lexsort((h, levels[_bucket(h, bits).astype(np.int64)], doc))
             first = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
-            take = order[np.arange(len(h)) - at[doc] < (first * new)[doc]]
-            yield pa.RecordBatch.from_pydict({"k": h[take].view(np.int64), "s": keys[doc[take]], "n": size[doc[take]]})
+            place = np.arange(len(h)) - at[doc]
+            m = place < (first * new)[doc]
+            take = order[m]
+            yield pa.RecordBatch.from_pydict({"k": h[take].view(np.int64), "s": keys[doc[take]], "n": size[doc[take]], "i": place[m].astype(np.int32)})
 
-    return docs.select(text).mapInArrow(work, "k bigint, s bigint, n bigint")
+    return docs.select(text).mapInArrow(work, "k bigint, s bigint, n bigint, i int")
 
 
 #: Bytes that a shingle's hash takes when sets are compared.
@@ -406,32 +447,36 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, width: int, s
 def similar_sets(docs: DataFrame, least: DataFrame, width: int, similarity: float, text: str, broadcast_rows: int = 1 << 18) -> DataFrame:
     """(node, root) of the sets in a component of pairs with Jaccard similarity ``similarity`` or more; each pair is verified on the whole sets.
 
-    Candidates share a shingle of their prefixes (Chaudhuri et al. 2006), so that no pair is missed. First
+    Candidates share a shingle of their prefixes (Chaudhuri et al. 2006), so that no pair is missed: two sets that
+    must have o shingles in common share one of the first |x| - o + 1 of each, and o is known once both sizes
+    are (Xiao et al. 2008). With common shingles last, a passage that many texts quote lies beyond these. First
     each set is compared with the least one at a shingle, then those with each other that are in different
-    components yet, if they share as many shingles of their prefixes as the similarity takes. Sets in one component
-    are not compared again; sets that stay apart and share a prefix shingle are, pair by pair, which grows with
-    the square of such a group. ``least`` (s, m, n, parities) has a row of each set.
+    components yet. Sets in one component are not compared again. ``least`` (s, m, n, parities) has a row of each set.
     """
     post = _prefixes(docs, width, similarity, text).repartition("k").distinct()  # one exchange, also for the window
-    led = post.selectExpr("*", "min(struct(s, n)) OVER (PARTITION BY k) AS l", "max(s) OVER (PARTITION BY k) AS z").where("l.s < z")
-    posts = staged(led.select("k", "s", "n", F.col("l.s").alias("a"), F.col("l.n").alias("an")), "postings")
-    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9
+    led = post.selectExpr("*", "min(struct(s, n, i)) OVER (PARTITION BY k) AS l", "max(s) OVER (PARTITION BY k) AS z").where("l.s < z")
+    posts = staged(led.select("k", "s", "n", "i", F.col("l.s").alias("a"), F.col("l.n").alias("an"), F.col("l.i").alias("ai")), "postings")
     verified = lambda pairs: _verified(pairs, docs, least, width, similarity, text, broadcast_rows)
-    stars = staged(posts.where((F.col("s") > F.col("a")) & near(F.col("n"), F.col("an"))).select("a", F.col("s").alias("b")).distinct(), "stars")
+    stars = posts.toDF("k", "b", "bn", "bi", "a", "an", "ai").where((F.col("b") > F.col("a")) & _within(similarity)).select("a", "b").distinct()
+    stars = staged(stars, "stars")
     found = verified(stars)
     roots = components(found)
-    named = posts.select("k", "s", "n").join(roots, F.col("s") == F.col("node"), "left").select("k", "s", "n", F.coalesce("root", "s").alias("root"))
+    named = posts.select("k", "s", "n", "i").join(roots, F.col("s") == F.col("node"), "left").select("k", "s", "n", "i", F.coalesce("root", "s").alias("root"))
     named = staged(named, "named")
     apart = named.groupBy("k").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u < v").select("k")
     rest = staged(named.join(apart, "k", "left_semi"), "apart")
-    x, y = rest.toDF("k", "a", "an", "ar"), rest.toDF("k", "b", "bn", "br")
-    met = x.join(y, "k").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & near(F.col("an"), F.col("bn"))).groupBy("a", "b", "an", "bn").agg(F.count(F.lit(1)).alias("c"))
-    # shingles alike beyond the shorter-reaching prefix are at most those that follow it
-    after = F.ceil(F.lit(similarity) * F.greatest("an", "bn") - 1e-9) - 1
-    pairs = met.where(F.col("c") + after >= F.lit(similarity / (1 + similarity)) * (F.col("an") + F.col("bn")) - 1e-6).select("a", "b")
+    x, y = rest.toDF("k", "a", "an", "ai", "ar"), rest.toDF("k", "b", "bn", "bi", "br")
+    pairs = x.join(y, (x["k"] == y["k"]) & (F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & _within(similarity)).select("a", "b").distinct()
     return components(found.union(verified(pairs.join(stars, ["a", "b"], "left_anti"))))
 
 
+def _within(similarity: float) -> Column:
+    """Sizes an, bn that allow the similarity, and a shared shingle at places ai, bi that both prefixes for these sizes hold."""
+    common = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("an") + F.col("bn")) - 1e-6)
+    near = F.least("an", "bn") >= F.greatest("an", "bn") * F.lit(similarity) - 1e-9
+    return near & (F.col("ai") <= F.col("an") - common) & (F.col("bi") <= F.col("bn") - common)
+
+
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """One row of ``docs``, that of the least id, for each component of pairs whose shingle sets have the similarity or more.
 
