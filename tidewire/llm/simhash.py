@@ -450,14 +450,15 @@ def similar_sets(docs: DataFrame, least: DataFrame, width: int, similarity: floa
     Candidates share a shingle of their prefixes (Chaudhuri et al. 2006), so that no pair is missed: two sets that
     must have o shingles in common share one of the first |x| - o + 1 of each, and o is known once both sizes
     are (Xiao et al. 2008). With common shingles last, a passage that many texts quote lies beyond these. First
-    each set is compared with the least one at a shingle, then those with each other that are in different
+    each set is compared with the one that has a shingle at the least place, as the text that near copies were made
+    from has, then those with each other that are in different
     components yet. Sets in one component are not compared again. ``least`` (s, m, n, parities) has a row of each set.
     """
     post = _prefixes(docs, width, similarity, text).repartition("k").distinct()  # one exchange, also for the window
-    led = post.selectExpr("*", "min(struct(s, n, i)) OVER (PARTITION BY k) AS l", "max(s) OVER (PARTITION BY k) AS z").where("l.s < z")
+    led = post.selectExpr("*", "min(struct(i, s, n)) OVER (PARTITION BY k) AS l", "min(s) OVER (PARTITION BY k) AS y", "max(s) OVER (PARTITION BY k) AS z").where("y < z")
     posts = staged(led.select("k", "s", "n", "i", F.col("l.s").alias("a"), F.col("l.n").alias("an"), F.col("l.i").alias("ai")), "postings")
     verified = lambda pairs: _verified(pairs, docs, least, width, similarity, text, broadcast_rows)
-    stars = posts.toDF("k", "b", "bn", "bi", "a", "an", "ai").where((F.col("b") > F.col("a")) & _within(similarity)).select("a", "b").distinct()
+    stars = posts.toDF("k", "b", "bn", "bi", "a", "an", "ai").where((F.col("b") != F.col("a")) & _within(similarity)).select("a", "b").distinct()
     stars = staged(stars, "stars")
     found = verified(stars)
     roots = components(found)
@@ -467,7 +468,8 @@ def similar_sets(docs: DataFrame, least: DataFrame, width: int, similarity: floa
     rest = staged(named.join(apart, "k", "left_semi"), "apart")
     x, y = rest.toDF("k", "a", "an", "ai", "ar"), rest.toDF("k", "b", "bn", "bi", "br")
     pairs = x.join(y, (x["k"] == y["k"]) & (F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & _within(similarity)).select("a", "b").distinct()
-    return components(found.union(verified(pairs.join(stars, ["a", "b"], "left_anti"))))
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return components(found.union(verified(pairs.join(done, ["a", "b"], "left_anti"))))
 
 
 def _within(similarity: float) -> Column:
