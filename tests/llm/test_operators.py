@@ -215,7 +215,7 @@ def test_language_model(spark, bound):
 def test_counts_come_back_from_the_filter(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(200)) for _ in range(30)]
-    m = language_model.train(frame(spark, texts))
+    m = language_model.train(frame(spark, texts)).get()
     pairs = Counter()
     for t in texts:
         w = t.split()
@@ -227,9 +227,35 @@ def test_counts_come_back_from_the_filter(spark):
     for k in range(1, len(w)):
         true = pairs[w[k - 1], w[k]]
         assert true / 1.5 - 1 <= got[k] <= true * 1.5 + 1
+        assert got[k] >= 1
     assert m.word_counts(tok).tolist() == [sum(t.split().count(x) for t in texts) for x in w] + [30]
 
 
+@pytest.mark.parametrize("bound", [1 << 30, 0])
+def test_score_against_exact_pair_counts(spark, bound):
+    """Few counts, each the least of its level, so the filter's answers are the exact ones but for false positives."""
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(30)) for _ in range(40)] + ["w1 w2 w3"] * 3 + [None, ""]
+    docs = frame(spark, texts)
+    held = language_model.train(docs, broadcast_bytes=bound)
+    lam = held.lambdas = language_model.fit_lambdas(docs, held, "text")
+    assert lam.max() > 0
+    got = {r["doc_id"]: r["score"] for r in language_model.score(docs, docs, broadcast_bytes=bound).collect()}
+    seqs = [[None, *(t or "").split(), None] for t in texts]
+    words = Counter(w for q in seqs for w in q[1:])
+    pairs = Counter(p for q in seqs for p in zip(q, q[1:]))
+    n, v = sum(words.values()), len(words)
+    assert max(c for p, c in pairs.items()) <= 4
+    close = 0
+    for i, q in enumerate(seqs):
+        want = 0.0
+        for h, w in zip(q, q[1:]):
+            k = lam[min(int(math.log2(words[h])), language_model.CLASSES - 1)]
+            want += math.log10(k * pairs[h, w] / words[h] + (1 - k) * (words[w] + 1) / (n + v + 1))
+        close += got[i] == pytest.approx(want, rel=1e-9)
+    assert close >= 0.6 * len(seqs)  # a false positive in 30 probes changes a text's score a little
+
+
 # ---------------------------------------------------------------- 8
 
 

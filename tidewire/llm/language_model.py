@@ -1,13 +1,13 @@
 """A bigram language model in a log-frequency Bloom filter (Talbot and Osborne 2007).
 
-Words are counted exactly over all training documents, pairs of words likewise; a pair that occurs
-``least`` times or more enters the filter with its quantised count: q = 1 + floor(log_base(c /
+Words are counted exactly over all training documents, pairs of words likewise; every pair that occurs
+``least`` times (once) or more enters the filter with its quantised count: q = 1 + floor(log_base(c /
 least)), stored as the q keys (pair, 1) .. (pair, q). A lookup probes levels until one is missing,
-which gives the count rounded down to its level; a false positive makes it one level too high at
+which gives the least count of that level; a false positive makes it one level too high at
 most, with the filter's small error rate. Each bucket of pairs has its own stretch of the filter, made where
 the bucket was counted. The filter and the exact word counts go to the workers by broadcast while
-they are under ``broadcast_bytes``, beyond it as files of the shared folder that workers map into
-memory; results are the same.
+they are under ``broadcast_bytes``; beyond it the driver passes them bucket by bucket to files of the
+shared folder that workers map into memory, and never holds them; results are the same.
 
 Score: log10 of lambda * c(h, w) / c(h) + (1 - lambda) * (c(w) + 1) / (N + V + 1), where lambda
 depends on the magnitude of c(h) and is the best of a grid for left-out occurrences in all training
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import io
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,9 +72,9 @@ def _bits(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) ->
 class Model:
     """Exact word counts and the filter, for lookups."""
 
-    def __init__(self, arrays: dict, least: int, base: float, key_bits: int, lambdas: np.ndarray | None = None):
+    def __init__(self, arrays: dict, total: int, least: int, base: float, key_bits: int, lambdas: np.ndarray | None = None):
         self.a, self.least, self.base, self.key_bits, self.lambdas = arrays, least, base, key_bits, lambdas
-        self.n, self.v = int(arrays["counts"].sum()), len(arrays["words"])
+        self.n, self.v = total, len(arrays["words"])
 
     def word_counts(self, tok: np.ndarray) -> np.ndarray:
         words = self.a["words"]
@@ -84,7 +85,7 @@ class Model:
         return np.where(words[k] == u, self.a["counts"][k], 0).astype(np.int64)[back]
 
     def pair_counts(self, pair: np.ndarray) -> np.ndarray:
-        """Counts rounded down to their level, 0 below ``least``."""
+        """The least count of the level of each, 0 below ``least``."""
         key = pair >> U64(64 - self.key_bits)
         buckets = len(self.a["size"])
         bucket = (key >> U64(self.key_bits - buckets.bit_length() + 1)).astype(np.int64)
@@ -98,7 +99,7 @@ class Model:
                 hit &= (data[at[:, j] >> 3] >> (at[:, j] & 7).astype(np.uint8)) & 1 == 1
             live = live[hit]
             q[live] = level
-        return np.where(q > 0, np.floor(self.least * self.base ** (q - 1.0) + 1e-9), 0).astype(np.int64)
+        return np.where(q > 0, np.ceil(self.least * self.base ** (q - 1.0) - 1e-9), 0).astype(np.int64)
 
     def kind(self, c_hist: np.ndarray) -> np.ndarray:
         return np.minimum(np.log2(np.maximum(c_hist, 1)).astype(np.int64), CLASSES - 1)
@@ -135,13 +136,16 @@ class Model:
         return np.stack([n0 * np.log10(1 - g) + s0 + np.bincount(kind, np.log10(g * p2 + (1 - g) * p1), CLASSES) for g in GRID], axis=1)
 
 
-def _save(path: str, name: str, a: np.ndarray) -> None:
+def _save(path: str, name: str, parts: Iterator[np.ndarray], dtype, length: int) -> None:
+    """``parts`` end to end as one NumPy file, held one at a time."""
     fs, p = pafs.FileSystem.from_uri(path)
     fs.create_dir(p, recursive=True)
-    with fs.open_output_stream(f"{p}/{name}") as f:
-        buf = io.BytesIO()
-        np.save(buf, a)
-        f.write(buf.getbuffer())
+    with fs.open_output_stream(f"{p}/{name}.npy") as f:
+        head = io.BytesIO()
+        np.lib.format.write_array_header_1_0(head, {"descr": np.dtype(dtype).str, "fortran_order": False, "shape": (length,)})
+        f.write(head.getvalue())
+        for part in parts:
+            f.write(np.ascontiguousarray(part, dtype).tobytes())
 
 
 def _load(path: str, name: str) -> np.ndarray:
@@ -155,22 +159,22 @@ def _load(path: str, name: str) -> np.ndarray:
 class _Held:
     """A model for the workers: in a broadcast, or in files of the shared folder beyond its bound."""
 
-    def __init__(self, sc, model: Model, path: str, bound: int):
-        self.rest = (model.least, model.base, model.key_bits, model.lambdas)
-        self.names = list(model.a)
-        if sum(a.nbytes for a in model.a.values()) <= bound:
-            self.arrays, self.path = sc.broadcast(model.a), None
+    def __init__(self, sc, parts: dict, total: int, rest: tuple, path: str, bound: int):
+        """``parts``: by name, a function that gives the array's parts, its type and its length."""
+        self.names, self.total, self.rest, self.lambdas = list(parts), total, rest, np.zeros(CLASSES)
+        if sum(np.dtype(t).itemsize * n for _, t, n in parts.values()) <= bound:
+            self.arrays, self.path = sc.broadcast({k: np.concatenate([np.zeros(0, t), *get()]).astype(t) for k, (get, t, _) in parts.items()}), None
         else:
-            for k, a in model.a.items():
-                _save(path, f"{k}.npy", a)
             self.arrays, self.path = None, path
+            for k, (get, t, n) in parts.items():
+                _save(path, k, get(), t, n)
 
     def get(self) -> Model:
-        return Model(self.arrays.value if self.path is None else {k: _load(self.path, f"{k}.npy") for k in self.names}, *self.rest)
+        return Model(self.arrays.value if self.path is None else {k: _load(self.path, f"{k}.npy") for k in self.names}, self.total, *self.rest, self.lambdas)
 
 
-def train(docs: DataFrame, text: str = "text", least: int = 2, base: float = 1.5, bits_per_key: int = 10) -> Model:
-    """A model of all ``docs``, without lambdas."""
+def train(docs: DataFrame, text: str = "text", least: int = 1, base: float = 1.5, bits_per_key: int = 10, broadcast_bytes: int = 512 << 20) -> _Held:
+    """A model of all ``docs``, with lambdas of zero."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) + F.count(F.lit(1))).first()[0]
     key_bits = min(64, max(32, int(size).bit_length() + 14))  # pairs: a false join in 16,000 at most
     n_words, n_pairs = buckets_for(size // 32), buckets_for(size // 6)
@@ -196,21 +200,33 @@ def train(docs: DataFrame, text: str = "text", least: int = 2, base: float = 1.5
             for level in range(1, int(q.max(initial=0)) + 1):
                 stretch[_bits(k[q >= level], level, bits).ravel()] = 1
             keys, data = b"", np.packbits(stretch, bitorder="little").tobytes()
-        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": pa.array([keys], pa.binary()), "data": pa.array([data], pa.binary()), "bits": pa.array([bits], pa.int64())})
+        length, total = (len(k), int(n.sum())) if kind == 0 else (len(data), 0)
+        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": pa.array([keys], pa.binary()), "data": pa.array([data], pa.binary()), "bits": pa.array([bits], pa.int64()), "length": pa.array([length], pa.int64()), "total": pa.array([total], pa.int64())})
 
     runs = docs.select(text).mapInArrow(count, "kind int, bucket int, keys binary, counts binary")
-    made = staged(runs.groupBy("kind", "bucket").applyInArrow(merge, "kind int, bucket int, keys binary, data binary, bits bigint"), "counts")
-    words, counts, start, size_of, parts, at = [], [], np.zeros(n_pairs, np.int64), np.zeros(n_pairs, np.int64), [], 0
-    for r in made.where("kind = 0").orderBy("bucket").toLocalIterator():
-        words.append(unpack_keys(bytes(r["keys"])))
-        counts.append(unpack(bytes(r["data"]), np.uint64).astype(np.uint32))
-    for r in made.where("kind = 1").orderBy("bucket").toLocalIterator():
-        start[r["bucket"]], size_of[r["bucket"]] = at, r["bits"]
-        parts.append(np.frombuffer(bytes(r["data"]), np.uint8))
-        at += r["bits"]
-    none = lambda t: [np.zeros(0, t)]
-    arrays = {"words": np.concatenate(words or none(np.uint64)), "counts": np.concatenate(counts or none(np.uint32)), "start": start, "size": size_of, "filter": np.concatenate(parts or none(np.uint8))}
-    return Model(arrays, least, base, key_bits)
+    made = staged(runs.groupBy("kind", "bucket").applyInArrow(merge, "kind int, bucket int, keys binary, data binary, bits bigint, length bigint, total bigint"), "counts")
+    # a row a bucket, of 65,536 at most a kind
+    start, size_of, length, total, at = np.zeros(n_pairs, np.int64), np.zeros(n_pairs, np.int64), {0: 0, 1: 0}, 0, 0
+    for r in made.select("kind", "bucket", "bits", "length", "total").orderBy("kind", "bucket").collect():
+        length[r["kind"]] += r["length"]
+        total += r["total"]
+        if r["kind"] == 1:
+            start[r["bucket"]], size_of[r["bucket"]] = at, r["bits"]
+            at += r["bits"]
+
+    def column(kind: int, name: str, read):
+        # the driver is sent about 32 MB at once
+        rows = made.where(F.col("kind") == kind).select("bucket", name).repartitionByRange(1 + (length[kind] * (8 if kind == 0 else 1) >> 25), "bucket").sortWithinPartitions("bucket")
+        return lambda: (read(bytes(r[1])) for r in rows.toLocalIterator())
+
+    parts = {
+        "words": (column(0, "keys", unpack_keys), np.uint64, length[0]),
+        "counts": (column(0, "data", lambda b: unpack(b, np.uint64)), np.uint64, length[0]),
+        "start": (lambda: [start], np.int64, n_pairs),
+        "size": (lambda: [size_of], np.int64, n_pairs),
+        "filter": (column(1, "data", lambda b: np.frombuffer(b, np.uint8)), np.uint8, length[1]),
+    }
+    return _Held(docs.sparkSession.sparkContext, parts, total, (least, base, key_bits), scratch(docs.sparkSession, "lm"), broadcast_bytes)
 
 
 def fit_lambdas(docs: DataFrame, held: _Held, text: str) -> np.ndarray:
@@ -230,17 +246,12 @@ def fit_lambdas(docs: DataFrame, held: _Held, text: str) -> np.ndarray:
     return GRID[np.where(total.any(axis=1), total.argmax(axis=1), 0)]
 
 
-def score(docs: DataFrame, training: DataFrame, text: str = "text", least: int = 2, base: float = 1.5, broadcast_bytes: int = 512 << 20) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, text: str = "text", least: int = 1, base: float = 1.5, broadcast_bytes: int = 512 << 20) -> DataFrame:
     """``docs`` with n_tokens, n_known, train_tokens, base_score and score, by a model of ``training``."""
     docs = fresh(docs, "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    sc, path = docs.sparkSession.sparkContext, scratch(docs.sparkSession, "lm")
-    model = train(training, text, least, base)
-    model.lambdas = np.zeros(CLASSES)
-    held = _Held(sc, model, path, broadcast_bytes)
-    lambdas = fit_lambdas(training, held, text)
-    held.rest = (*held.rest[:3], lambdas)
-    n = model.n
-    del model
+    held = train(training, text, least, base, broadcast_bytes=broadcast_bytes)
+    held.lambdas = fit_lambdas(training, held, text)
+    n = held.total
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def work(batches):
