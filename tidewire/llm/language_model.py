@@ -37,6 +37,7 @@ END = U64(0x5851F42D4C957F2D)
 CLASSES = 24
 GRID = np.linspace(0.0, 0.95, 20)
 HASHES = 4
+M32 = U64(0xFFFFFFFF)
 
 
 def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,13 +61,16 @@ def levels(counts: np.ndarray, least: int, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, least) / least) / math.log(base) + 1e-9).astype(np.int64)
 
 
-def _bits(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> np.ndarray:
-    """The bits, within a stretch of ``size``, of (key, level): one column a hash."""
+def _hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit hashes of (key, level), of which the filter's are made."""
     with np.errstate(over="ignore"):
-        h = mix(keys + np.asarray(level).astype(np.uint64) * U64(0xA24BAED4963EE407))
-        a, b = h & U64(0xFFFFFFFF), (h >> U64(32)) | U64(1)
-        at = a[:, None] + b[:, None] * np.arange(HASHES, dtype=np.uint64)
-    return (at % (np.asarray(size, np.uint64)[:, None] if np.ndim(size) else U64(size))).astype(np.int64)
+        h = mix(keys + U64(level) * U64(0xA24BAED4963EE407))
+    return h & M32, (h >> U64(32)) | U64(1)
+
+
+def _bit(a: np.ndarray, b: np.ndarray, j: int, size: np.ndarray | np.uint64) -> np.ndarray:
+    """The ``j``-th bit within a stretch of ``size``, 2^32 at most."""
+    return (((a + b * U64(j)) & M32) * size >> U64(32)).astype(np.int64)
 
 
 class Model:
@@ -86,19 +90,22 @@ class Model:
 
     def pair_counts(self, pair: np.ndarray) -> np.ndarray:
         """The least count of the level of each, 0 below ``least``."""
+        pair, back = np.unique(pair, return_inverse=True)
         key = pair >> U64(64 - self.key_bits)
         buckets = len(self.a["size"])
         bucket = (key >> U64(self.key_bits - buckets.bit_length() + 1)).astype(np.int64)
-        size, start, data = self.a["size"][bucket], self.a["start"][bucket], self.a["filter"]
+        size, start, data = self.a["size"][bucket].astype(np.uint64), self.a["start"][bucket], self.a["filter"]
         level, live, q = 0, np.flatnonzero(size > 0), np.zeros(len(pair), np.int64)
         while live.size:
             level += 1
-            at = _bits(key[live], level, size[live]) + start[live][:, None]
-            hit = np.ones(len(live), bool)
+            a, b = _hashes(key[live], level)
             for j in range(HASHES):
-                hit &= (data[at[:, j] >> 3] >> (at[:, j] & 7).astype(np.uint8)) & 1 == 1
-            live = live[hit]
+                at = _bit(a, b, j, size[live]) + start[live]
+                hit = np.flatnonzero(data[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                if len(hit) < len(live):
+                    live, a, b = live[hit], a[hit], b[hit]
             q[live] = level
+        q = q[back]
         return np.where(q > 0, np.ceil(self.least * self.base ** (q - 1.0) - 1e-9), 0).astype(np.int64)
 
     def kind(self, c_hist: np.ndarray) -> np.ndarray:
@@ -132,8 +139,14 @@ class Model:
         # a pair without counts adds log10(1 - g) + log10(p1): only the others need each g
         no, yes = p2 == 0, np.flatnonzero(p2 > 0)
         n0, s0 = np.bincount(kind[no], minlength=CLASSES), np.bincount(kind[no], np.log10(p1[no]), CLASSES)
-        kind, p1, p2 = kind[yes], p1[yes], p2[yes]
-        return np.stack([n0 * np.log10(1 - g) + s0 + np.bincount(kind, np.log10(g * p2 + (1 - g) * p1), CLASSES) for g in GRID], axis=1)
+        # products of 16 or fewer ratios of a class, 10^-21 to 10^240, take one logarithm
+        yes = yes[np.argsort(kind[yes].astype(np.uint8), kind="stable")]
+        kind, s1 = kind[yes], np.bincount(kind[yes], np.log10(p1[yes]), CLASSES)
+        ratio = np.minimum(p2[yes] / p1[yes], 1e15)
+        cut = np.flatnonzero((np.arange(len(yes)) % 16 == 0) | np.diff(kind, prepend=-1).astype(bool))
+        at = kind[cut]
+        total = lambda g: np.bincount(at, np.log10(np.multiply.reduceat(1 - g + g * ratio, cut)), CLASSES) if len(cut) else np.zeros(CLASSES)
+        return np.stack([n0 * np.log10(1 - g) + s0 + s1 + total(g) for g in GRID], axis=1)
 
 
 def _save(path: str, name: str, parts: Iterator[np.ndarray], dtype, length: int) -> None:
@@ -195,10 +208,12 @@ def train(docs: DataFrame, text: str = "text", least: int = 1, base: float = 1.5
         else:
             k, n = k[n >= least], n[n >= least]
             q = levels(n, least, base)
-            bits = max(64, int(q.sum()) * bits_per_key + 7 & ~7) if len(k) else 0
+            bits = min(1 << 32, max(64, int(q.sum()) * bits_per_key + 7 & ~7)) if len(k) else 0
             stretch = np.zeros(bits, np.uint8)
             for level in range(1, int(q.max(initial=0)) + 1):
-                stretch[_bits(k[q >= level], level, bits).ravel()] = 1
+                a, b = _hashes(k[q >= level], level)
+                for j in range(HASHES):
+                    stretch[_bit(a, b, j, U64(bits))] = 1
             keys, data = b"", np.packbits(stretch, bitorder="little").tobytes()
         length, total = (len(k), int(n.sum())) if kind == 0 else (len(data), 0)
         return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": pa.array([keys], pa.binary()), "data": pa.array([data], pa.binary()), "bits": pa.array([bits], pa.int64()), "length": pa.array([length], pa.int64()), "total": pa.array([total], pa.int64())})
