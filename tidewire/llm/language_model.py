@@ -193,7 +193,7 @@ def train(docs: DataFrame, text: str = "text", least: int = 1, base: float = 1.5
     n_words, n_pairs = buckets_for(size // 32), buckets_for(size // 6)
 
     def count(batches):
-        for _, data, offs in blocks(batches, text):
+        for _, data, offs in blocks(batches, text, 2 << 20):
             tok, pair, _ = _tokens(data, offs)
             for kind, keys, bits, n in ((0, tok, 64, n_words), (1, pair >> U64(64 - key_bits), key_bits, n_pairs)):
                 got = list(pieces(*np.unique(keys, return_counts=True), bits, n))
@@ -250,7 +250,7 @@ def fit_lambdas(docs: DataFrame, held: _Held, text: str) -> np.ndarray:
     def work(batches):
         total = np.zeros((CLASSES, len(GRID)))
         m = held.get()
-        for _, data, offs in blocks(batches, text):
+        for _, data, offs in blocks(batches, text, 2 << 20):
             total += m.left_out(data, offs)
         i, j = np.indices(total.shape)
         yield pa.RecordBatch.from_pydict({"i": i.ravel(), "j": j.ravel(), "x": total.ravel()})
@@ -271,7 +271,7 @@ def score(docs: DataFrame, training: DataFrame, text: str = "text", least: int =
 
     def work(batches):
         m = held.get()
-        for batch, data, offs in blocks(batches, text):
+        for batch, data, offs in blocks(batches, text, 2 << 20):
             cols = [pa.array(x) for x in m.score(data, offs)]
             yield pa.RecordBatch.from_arrays([*batch.columns, cols[0].cast(pa.int64()), cols[1].cast(pa.int64()), pa.array(np.full(batch.num_rows, n)), cols[2], cols[3]], names=[*batch.schema.names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
