@@ -6,7 +6,7 @@ import os
 import pytest
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["entry_weekly_top_receivers", "E2_view_edges_amp", "E7_topic_spread", "K5_ei_index", "K14_disparity", "L1_seed_candidates", "I9_terms", "M11_inertia"]
+NAMES = ["entry_weekly_top_receivers", "E2_view_edges_amp", "E7_topic_spread", "K5_ei_index", "K14_disparity", "L1_seed_candidates", "I9_terms", "M11_inertia", "G3_topic_actors", "O6_community_cards", "K17_map_summary", "K17_map_nodes", "M10_dimension", "O12_status", "O12_status_cut", "O10_label_volume"]
 
 
 def rows(df):

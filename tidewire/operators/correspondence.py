@@ -149,3 +149,10 @@ def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
 def degenerate(agree: float, middle: float) -> bool:
     """The first dimension only tells two blocks apart: use the second."""
     return agree > 0.95 and middle < 0.05
+
+
+def chosen_dimension(agree: DataFrame, scores: DataFrame) -> DataFrame:
+    """(dim, agreement, middle) of the first dimension, ``dim`` 2 if it is degenerate; no row without scores."""
+    middle = scores.where("dim = 1").groupBy("dim").agg(F.avg((F.abs("score") < 0.25).cast("double")).alias("middle"))
+    two_blocks = (F.col("agreement") > 0.95) & (F.col("middle") < 0.05)
+    return middle.join(agree, "dim", "left").select(F.when(two_blocks, 2).otherwise(1).alias("dim"), "agreement", "middle")
