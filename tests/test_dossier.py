@@ -31,3 +31,24 @@ def test_degenerate_dimension(spark):
     p = spark.createDataFrame([(i, i % 2) for i in range(20)], "actor_id int, community_id int")
     assert correspondence.chosen_dimension(correspondence.agreement(two, p), two).collect()[0]["dim"] == 2
     assert correspondence.chosen_dimension(correspondence.agreement(two.limit(0), p), two.limit(0)).count() == 0
+
+
+def test_commands(spark, tmp_path, capsys):
+    import datetime
+    import json
+
+    from tidewire import cli
+
+    day = datetime.datetime(2024, 1, 9)
+    rows = [(n, s, d, "repost", day + datetime.timedelta(seconds=n), "T") for n, (s, d) in enumerate((s, d) for s in range(20, 30) for d in (1, 2, 3))]
+    spark.createDataFrame(rows, "post_id bigint, src bigint, dst bigint, kind string, occurred_at timestamp, label string").write.parquet(f"{tmp_path}/interaction")
+    spark.createDataFrame([(i, f"u{i}", "A" if i < 4 else "C") for i in (1, 2, 3, *range(20, 30))], "actor_id bigint, handle string, tier string").write.parquet(f"{tmp_path}/actor")
+    args = lambda c, *more: cli.parser().parse_args([c, "--data", str(tmp_path), *more])
+    cli.cmd_status(spark, args("status"))
+    out = capsys.readouterr().out
+    assert "repost" in out and "tier" in out
+    cli.cmd_dossier(spark, args("dossier", "--out", f"{tmp_path}/d.json"))
+    d = json.load(open(f"{tmp_path}/d.json", encoding="utf-8"))
+    assert d["summary"][0]["actors"] == 13, d["summary"]
+    assert len(d["links"]) == 3 and d["map"][0]["direct_edges"] == 30
+    assert {n["handle"] for n in d["nodes"] if n.get("x") is not None} == {"u1", "u2", "u3"} and d["axis"] == []

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.scope import Scope, split_window
 from tidewire.functions.times import week_start
-from tidewire.operators import edges, graph, reports, seeds, text
+from tidewire.operators import correspondence, dossier, edges, graph, reports, seeds, text
 from tidewire.sources import archive, files
 from tidewire.streaming import ingest as stream
 
@@ -76,6 +77,36 @@ def cmd_radar(spark, args):
     print(reports.to_json(reports.radar(_window(_interactions(spark, args), args), _analysis(spark, args), args.top), args.out, args.compact))
 
 
+def cmd_status(spark, args):
+    dossier.status(_interactions(spark, args), _table(spark, args, "actor"), args.topic).orderBy("section", F.desc("n"), "item").show(10_000, False)
+
+
+def cmd_dossier(spark, args):
+    """Map, cards and central actors of the newest week or that of ``--window``, as JSON; positions if the folder has them."""
+    args.all = False
+    r = _analysis(spark, args)
+    actors = _table(spark, args, "actor")
+    try:
+        places = _table(spark, args, "position")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        places = spark.createDataFrame([], "actor_id bigint, dim int, score double")
+    p = r["partition"].select("actor_id", "community_id")
+    rank = r["metrics"].where("metric = 'pagerank'").select("actor_id", "value")
+    m = dossier.network_map(r["edges"], rank)
+    parts = {
+        "summary": reports.summary(edges.aggregate(_window(_interactions(spark, args), args), args.topic), actors),
+        "map": m["summary"],
+        "nodes": m["nodes"].join(p, "actor_id", "left").join(actors.select("actor_id", "handle", "tier"), "actor_id", "left"),
+        "links": m["links"],
+        "axis": correspondence.chosen_dimension(correspondence.agreement(places, p), places),
+        "communities": dossier.community_cards(r["communities"], p, places).orderBy(F.desc("size"), "community_id"),
+        "actors": reports.top_actors(r["metrics"], actors, top=args.top),
+    }
+    print(reports.to_json(parts, args.out, args.compact))
+
+
 def cmd_export(spark, args):
     i = _window(_interactions(spark, args), args)
     days = {str(w): n for w, n in i.groupBy("window_start").agg(F.count_distinct(F.to_date("occurred_at"))).collect()}
