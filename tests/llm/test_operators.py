@@ -407,6 +407,31 @@ def test_deduplicate_at_similarity(spark):
     assert sorted(r["doc_id"] for r in simhash.deduplicate(frame(spark, texts)).collect()) == sorted(set(up))
 
 
+def test_deduplicate_links_fingerprints_first(spark, monkeypatch):
+    rng = random.Random(15)
+    texts = [words(rng, 300, 9999) for _ in range(12)]
+    texts += [" ".join([*t.split()[:-1], "end"]) for t in texts]
+    fps = [fingerprint(t, 5) for t in texts]
+    near = sum((fps[i] ^ fps[i + 12]).bit_count() <= 2 for i in range(12))
+    given, compared, links, verified = [], [], simhash.links, simhash._verified
+
+    def linked(values, *more):
+        given.append({r["fp"] % (1 << 64) for r in values.collect()})
+        return links(values, *more)
+
+    def checked(pairs, *more):
+        out = verified(pairs, *more)
+        compared.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "links", linked)
+    monkeypatch.setattr(simhash, "_verified", checked)
+    assert {r["doc_id"] for r in simhash.deduplicate(frame(spark, texts)).collect()} == set(range(12))
+    assert given == [set(fps)]
+    # what fingerprints link is compared first, and the rest only then
+    assert 0 < near < 12 and compared == [(near, near), (12 - near, 12 - near), (0, 0)]
+
+
 # ---------------------------------------------------------------- 10
 
 

@@ -12,8 +12,9 @@ agree on a part and differ in at most ``distance`` of the other bits agree after
 of those bits are cleared, and all that agree so are links of each other; each is linked to the
 least of them. That is exact and grows with the bucket, not with its square.
 
-``deduplicate`` goes by the shingle sets themselves, not by fingerprints: all pairs of the similarity,
-found by prefix filtering and verified exactly.
+``deduplicate`` groups texts by their fingerprints in the same way and verifies each group on the whole
+shingle sets. Pairs of the similarity whose fingerprints lie further apart are then found by prefix
+filtering, among the sets that the fingerprints left in different components, so that no pair is missed.
 
 Defined cases: a text without words (or null) has fingerprint zero, linked like any other; repeated
 rows have one fingerprint; null ids are never a component's id unless all of it have none; an
@@ -258,6 +259,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, text: st
     return rows.join(by_fp, F.col("fp") == F.col("__tw_fp"), "left").select(row_id, "fp", "component_id")
 
 
+#: Bytes of text that a worker of ``deduplicate`` works on at once: what it takes of memory is some 80 times that.
+BLOCK = 1 << 20
+
+
 def _shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each document, ascending, end to end, and the n + 1 offsets of the documents."""
     low = LOWER[data]
@@ -312,7 +317,7 @@ def _levels(docs: DataFrame, width: int, text: str, bits: int = 24, slices: int
 
     def count(batches):
         t = TaskContext.get().partitionId() >> 8
-        for _, data, offs in blocks(batches, text):
+        for _, data, offs in blocks(batches, text, 2 * BLOCK):
             at, n = np.unique(_bucket(_shingle_sets(data, offs, width)[0], bits), return_counts=True)
             got = list(pieces(at, n, bits, slices))
             if got:
@@ -358,7 +363,7 @@ def _prefixes(docs: DataFrame, width: int, similarity: float, text: str) -> Data
         levels = held.value
         bits = len(levels).bit_length() - 1
         seen: set[int] = set()
-        for _, data, offs in blocks(batches, text):
+        for _, data, offs in blocks(batches, text, BLOCK):
             h, at = _shingle_sets(data, offs, width)
             size = np.diff(at)
             keys = _set_keys(h, at)
@@ -410,7 +415,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, width: int, s
 
     def send(batches):
         names = ["a", "part", "s", "x"]
-        for batch, data, offs in blocks(batches, text):
+        for batch, data, offs in blocks(batches, text, BLOCK):
             h, at = _shingle_sets(data, offs, width)
             out, size = [], 0
             for i in range(batch.num_rows):
@@ -444,23 +449,43 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, width: int, s
     return staged(met.mapInArrow(compare, "a bigint, b bigint").distinct(), "similar")
 
 
-def similar_sets(docs: DataFrame, least: DataFrame, width: int, similarity: float, text: str, broadcast_rows: int = 1 << 18) -> DataFrame:
+def close_sets(marks: DataFrame, distance: int, bucket: int = 512) -> DataFrame:
+    """(a, b): each set ``b`` with the set ``a`` of the least document among those whose fingerprints are in its class.
+
+    ``marks`` (s, fp, m) has a row of each set and fingerprint: repeats within a text change the fingerprint, not the set.
+    """
+    named = marks.join(classes(marks, distance, bucket), "fp").select("root", "s", "m")
+    first = named.groupBy("root").agg(F.min(F.struct("m", "s")).alias("l")).select("root", F.col("l.s").alias("a"))
+    return named.join(first, "root").where(F.col("s") != F.col("a")).select("a", F.col("s").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose sets are in different components."""
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}r"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ar", "a") != F.coalesce("br", "b")).select("a", "b")
+
+
+def similar_sets(docs: DataFrame, least: DataFrame, close: DataFrame, width: int, similarity: float, text: str, broadcast_rows: int = 1 << 18) -> DataFrame:
     """(node, root) of the sets in a component of pairs with Jaccard similarity ``similarity`` or more; each pair is verified on the whole sets.
 
-    Candidates share a shingle of their prefixes (Chaudhuri et al. 2006), so that no pair is missed: two sets that
+    The pairs ``close`` that fingerprints give come first. For the rest candidates share a shingle of their
+    prefixes (Chaudhuri et al. 2006), so that no pair is missed: two sets that
     must have o shingles in common share one of the first |x| - o + 1 of each, and o is known once both sizes
     are (Xiao et al. 2008). With common shingles last, a passage that many texts quote lies beyond these. First
     each set is compared with the one that has a shingle at the least place, as the text that near copies were made
     from has, then those with each other that are in different
     components yet. Sets in one component are not compared again. ``least`` (s, m, n, parities) has a row of each set.
     """
+    verified = lambda pairs: _verified(pairs, docs, least, width, similarity, text, broadcast_rows)
+    close = staged(close, "close")
+    found = verified(close)
+    roots = components(found)
     post = _prefixes(docs, width, similarity, text).repartition("k").distinct()  # one exchange, also for the window
     led = post.selectExpr("*", "min(struct(i, s, n)) OVER (PARTITION BY k) AS l", "min(s) OVER (PARTITION BY k) AS y", "max(s) OVER (PARTITION BY k) AS z").where("y < z")
     posts = staged(led.select("k", "s", "n", "i", F.col("l.s").alias("a"), F.col("l.n").alias("an"), F.col("l.i").alias("ai")), "postings")
-    verified = lambda pairs: _verified(pairs, docs, least, width, similarity, text, broadcast_rows)
     stars = posts.toDF("k", "b", "bn", "bi", "a", "an", "ai").where((F.col("b") != F.col("a")) & _within(similarity)).select("a", "b").distinct()
-    stars = staged(stars, "stars")
-    found = verified(stars)
+    stars = staged(_apart(stars, roots), "stars")
+    found = found.union(verified(stars))
     roots = components(found)
     named = posts.select("k", "s", "n", "i").join(roots, F.col("s") == F.col("node"), "left").select("k", "s", "n", "i", F.coalesce("root", "s").alias("root"))
     named = staged(named, "named")
@@ -468,7 +493,7 @@ def similar_sets(docs: DataFrame, least: DataFrame, width: int, similarity: floa
     rest = staged(named.join(apart, "k", "left_semi"), "apart")
     x, y = rest.toDF("k", "a", "an", "ai", "ar"), rest.toDF("k", "b", "bn", "bi", "br")
     pairs = x.join(y, (x["k"] == y["k"]) & (F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & _within(similarity)).select("a", "b").distinct()
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    done = stars.union(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return components(found.union(verified(pairs.join(done, ["a", "b"], "left_anti"))))
 
 
@@ -479,9 +504,10 @@ def _within(similarity: float) -> Column:
     return near & (F.col("ai") <= F.col("an") - common) & (F.col("bi") <= F.col("bn") - common)
 
 
-def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", row_id: str = "doc_id", distance: int = 2) -> DataFrame:
     """One row of ``docs``, that of the least id, for each component of pairs whose shingle sets have the similarity or more.
 
+    ``distance`` is that of the fingerprints that are linked first; it changes the work, not the result.
     Rows that share an id but not a text are told apart by a 128-bit hash of both; of rows alike in
     both, one stays. Rows with a null id stand for their group only where no row of it has an id.
     """
@@ -490,15 +516,17 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
     only = hashed.select(row_id, text, *names)
 
     def keys(batches):
-        for batch, data, offs in blocks(batches, text):
+        for batch, data, offs in blocks(batches, text, BLOCK):
             h, at = _shingle_sets(data, offs, width)
-            more = [_set_keys(h, at), np.diff(at), *np.ascontiguousarray(_parities(h, at).T)]
-            yield pa.RecordBatch.from_arrays([batch.column(row_id), *(batch.column(n) for n in names), *map(pa.array, more)], names=[row_id, *names, "s", "n", *BITS])
+            more = [_fingerprints(data, offs, width).view(np.int64), _set_keys(h, at), np.diff(at), *np.ascontiguousarray(_parities(h, at).T)]
+            yield pa.RecordBatch.from_arrays([batch.column(row_id), *(batch.column(n) for n in names), *map(pa.array, more)], names=[row_id, *names, "fp", "s", "n", *BITS])
 
-    rows = only.mapInArrow(keys, f"`{row_id}` {only.schema[row_id].dataType.simpleString()}, __tw_0 bigint, __tw_1 bigint, s bigint, n bigint, " + ", ".join(f"{p} bigint" for p in BITS))
+    rows = only.mapInArrow(keys, f"`{row_id}` {only.schema[row_id].dataType.simpleString()}, __tw_0 bigint, __tw_1 bigint, fp bigint, s bigint, n bigint, " + ", ".join(f"{p} bigint" for p in BITS))
     first = F.min(F.struct(F.col(row_id).isNull().alias("none"), F.col(row_id).alias("id"), F.col("__tw_0").alias("r0"), F.col("__tw_1").alias("r1")))
-    least = staged(rows.groupBy("s").agg(first.alias("m"), F.max("n").alias("n"), *[F.max(p).alias(p) for p in BITS]), "least")
-    roots = similar_sets(only, least, width, similarity, text)
+    most = [F.max(c).alias(c) for c in ("n", *BITS)]
+    marks = staged(rows.groupBy("s", "fp").agg(first.alias("m"), *most), "marks")
+    least = staged(marks.groupBy("s").agg(F.min("m").alias("m"), *most), "least")
+    roots = similar_sets(only, least, close_sets(marks, distance), width, similarity, text)
     of = least.join(roots, F.col("s") == F.col("node"), "left").select("m", F.coalesce("root", "s").alias("root"))
     kept = staged(of.groupBy("root").agg(F.min("m").alias("m")).select(F.col("m.r0").alias("__tw_0"), F.col("m.r1").alias("__tw_1")), "kept")
     # the join and what follows it are dealt by the same two columns: texts move once
