@@ -231,6 +231,23 @@ def test_counts_come_back_from_the_filter(spark):
     assert m.word_counts(tok).tolist() == [sum(t.split().count(x) for t in texts) for x in w] + [30]
 
 
+def test_model_does_not_pass_through_the_driver(spark, monkeypatch):
+    def refuse(*more, **named):
+        raise AssertionError("the driver is sent the model")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", refuse)
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(200)) for _ in range(30)]
+    one, more = (language_model.train(frame(spark, texts), **x) for x in ({}, {"part_bytes": 500}))
+    assert len(one.words) == len(one.filters) == 1 and len(more.words) > 2 and len(more.filters) > 2
+    tok, pair, _ = language_model._tokens(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
+    one, more = one.get(), more.get()
+    assert Counter(dict(zip(tok.tolist(), more.word_counts(tok).tolist()))) == Counter(tok.tolist())
+    assert (one.n, one.v) == (more.n, more.v) == (len(tok), len(set(tok.tolist())))
+    assert more.pair_counts(pair).tolist() == one.pair_counts(pair).tolist() and more.pair_counts(pair).min() >= 1
+
+
 @pytest.mark.parametrize("bound", [1 << 30, 0])
 def test_score_against_exact_pair_counts(spark, bound):
     """Few counts, each the least of its level, so the filter's answers are the exact ones but for false positives."""

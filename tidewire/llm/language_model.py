@@ -5,9 +5,8 @@ Words are counted exactly over all training documents, pairs of words likewise;
 least)), stored as the q keys (pair, 1) .. (pair, q). A lookup probes levels until one is missing,
 which gives the least count of that level; a false positive makes it one level too high at
 most, with the filter's small error rate. Each bucket of pairs has its own stretch of the filter, made where
-the bucket was counted. The filter and the exact word counts go to the workers by broadcast while
-they are under ``broadcast_bytes``; beyond it the driver passes them bucket by bucket to files of the
-shared folder that workers map into memory, and never holds them; results are the same.
+the bucket was counted. Tasks write the filter and the exact word counts to files of the shared folder, each
+for a range of buckets, and workers map these into memory; the driver knows their names and where a bucket starts.
 
 Score: log10 of lambda * c(h, w) / c(h) + (1 - lambda) * (c(w) + 1) / (N + V + 1), where lambda
 depends on the magnitude of c(h) and is the best of a grid for left-out occurrences in all training
@@ -20,9 +19,10 @@ documents all counts are zero; repeated rows count as often as they occur.
 
 from __future__ import annotations
 
-import io
 import math
+import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -74,37 +74,46 @@ def _bit(a: np.ndarray, b: np.ndarray, j: int, size: np.ndarray | np.uint64) ->
 
 
 class Model:
-    """Exact word counts and the filter, for lookups."""
+    """Exact word counts and the filter, for lookups.
 
-    def __init__(self, arrays: dict, total: int, least: int, base: float, key_bits: int, lambdas: np.ndarray | None = None):
-        self.a, self.least, self.base, self.key_bits, self.lambdas = arrays, least, base, key_bits, lambdas
-        self.n, self.v = total, len(arrays["words"])
+    ``words`` are (words, counts) by ranges of words, ``filters`` (first bucket, bits) by ranges of buckets, both
+    ascending; bucket k has ``size[k]`` bits from ``start[k]`` on in its range.
+    """
+
+    def __init__(self, words: list, filters: list, start: np.ndarray, size: np.ndarray, total: int, least: int, base: float, key_bits: int, lambdas: np.ndarray | None = None):
+        self.words, self.filters, self.start, self.size = words, filters, start, size
+        self.least, self.base, self.key_bits, self.lambdas = least, base, key_bits, lambdas
+        self.n, self.v = total, sum(len(w) for w, _ in words)
 
     def word_counts(self, tok: np.ndarray) -> np.ndarray:
-        words = self.a["words"]
-        if not len(words):
-            return np.zeros(len(tok), np.int64)
         u, back = np.unique(tok, return_inverse=True)
-        k = np.minimum(np.searchsorted(words, u), len(words) - 1)
-        return np.where(words[k] == u, self.a["counts"][k], 0).astype(np.int64)[back]
+        out = np.zeros(len(u), np.int64)
+        cut = [*np.searchsorted(u, np.array([w[0] for w, _ in self.words], np.uint64)), len(u)]
+        for (words, counts), x, y in zip(self.words, cut[:-1], cut[1:], strict=True):
+            k = np.minimum(np.searchsorted(words, u[x:y]), len(words) - 1)
+            out[x:y] = np.where(words[k] == u[x:y], counts[k], 0)
+        return out[back]
 
     def pair_counts(self, pair: np.ndarray) -> np.ndarray:
         """The least count of the level of each, 0 below ``least``."""
         pair, back = np.unique(pair, return_inverse=True)
         key = pair >> U64(64 - self.key_bits)
-        buckets = len(self.a["size"])
+        buckets = len(self.size)
         bucket = (key >> U64(self.key_bits - buckets.bit_length() + 1)).astype(np.int64)
-        size, start, data = self.a["size"][bucket].astype(np.uint64), self.a["start"][bucket], self.a["filter"]
-        level, live, q = 0, np.flatnonzero(size > 0), np.zeros(len(pair), np.int64)
-        while live.size:
-            level += 1
-            a, b = _hashes(key[live], level)
-            for j in range(HASHES):
-                at = _bit(a, b, j, size[live]) + start[live]
-                hit = np.flatnonzero(data[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-                if len(hit) < len(live):
-                    live, a, b = live[hit], a[hit], b[hit]
-            q[live] = level
+        size, start = self.size[bucket].astype(np.uint64), self.start[bucket]
+        q = np.zeros(len(pair), np.int64)
+        cut = [*np.searchsorted(bucket, [k for k, _ in self.filters]), len(bucket)]
+        for (_, data), x, y in zip(self.filters, cut[:-1], cut[1:], strict=True):
+            level, live = 0, x + np.flatnonzero(size[x:y] > 0)
+            while live.size:
+                level += 1
+                a, b = _hashes(key[live], level)
+                for j in range(HASHES):
+                    at = _bit(a, b, j, size[live]) + start[live]
+                    hit = np.flatnonzero(data[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                    if len(hit) < len(live):
+                        live, a, b = live[hit], a[hit], b[hit]
+                q[live] = level
         q = q[back]
         return np.where(q > 0, np.ceil(self.least * self.base ** (q - 1.0) - 1e-9), 0).astype(np.int64)
 
@@ -149,45 +158,58 @@ class Model:
         return np.stack([n0 * np.log10(1 - g) + s0 + s1 + total(g) for g in GRID], axis=1)
 
 
-def _save(path: str, name: str, parts: Iterator[np.ndarray], dtype, length: int) -> None:
-    """``parts`` end to end as one NumPy file, held one at a time."""
-    fs, p = pafs.FileSystem.from_uri(path)
-    fs.create_dir(p, recursive=True)
-    with fs.open_output_stream(f"{p}/{name}.npy") as f:
-        head = io.BytesIO()
-        np.lib.format.write_array_header_1_0(head, {"descr": np.dtype(dtype).str, "fortran_order": False, "shape": (length,)})
-        f.write(head.getvalue())
-        for part in parts:
-            f.write(np.ascontiguousarray(part, dtype).tobytes())
+def _save(rows: DataFrame, reads: dict, path: str, parts: int) -> list[tuple[int, str]]:
+    """(first bucket, name) of each range of buckets, ascending: the columns ``reads`` of its rows, as read, end to end in files of their own.
+
+    The tasks that hold the rows write the files; the driver is sent the names.
+    """
 
+    def work(batches: Iterator[pa.RecordBatch]):
+        fs, p = pafs.FileSystem.from_uri(path)
+        fs.create_dir(p, recursive=True)
+        name, first, size = uuid.uuid4().hex, None, 0
+        with ExitStack() as held:
+            out = {c: held.enter_context(fs.open_output_stream(f"{p}/{name}.{c}")) for c in reads}
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    first = batch.column("bucket")[i].as_py() if first is None else first
+                    for c, read in reads.items():
+                        got = read(batch.column(c)[i].as_py()).tobytes()
+                        out[c].write(got)
+                        size += len(got)
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([name])], names=["first", "name"])
 
-def _load(path: str, name: str) -> np.ndarray:
+    dealt = rows.select("bucket", *reads).repartitionByRange(parts, "bucket").sortWithinPartitions("bucket")
+    return sorted((r["first"], r["name"]) for r in dealt.mapInArrow(work, "first int, name string").collect())
+
+
+def _load(path: str, name: str, dtype) -> np.ndarray:
     fs, p = pafs.FileSystem.from_uri(path)
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.load(f"{p}/{name}", mmap_mode="r")
+        return np.asarray(np.memmap(f"{p}/{name}", dtype, "r"))
     with fs.open_input_file(f"{p}/{name}") as f:
-        return np.load(io.BytesIO(f.read()))
+        return np.frombuffer(f.read(), dtype)
 
 
 class _Held:
-    """A model for the workers: in a broadcast, or in files of the shared folder beyond its bound."""
+    """A model for the workers, in files of the shared folder."""
 
-    def __init__(self, sc, parts: dict, total: int, rest: tuple, path: str, bound: int):
-        """``parts``: by name, a function that gives the array's parts, its type and its length."""
-        self.names, self.total, self.rest, self.lambdas = list(parts), total, rest, np.zeros(CLASSES)
-        if sum(np.dtype(t).itemsize * n for _, t, n in parts.values()) <= bound:
-            self.arrays, self.path = sc.broadcast({k: np.concatenate([np.zeros(0, t), *get()]).astype(t) for k, (get, t, _) in parts.items()}), None
-        else:
-            self.arrays, self.path = None, path
-            for k, (get, t, n) in parts.items():
-                _save(path, k, get(), t, n)
+    def __init__(self, path: str, words: list, filters: list, start: np.ndarray, size: np.ndarray, total: int, rest: tuple):
+        self.path, self.words, self.filters, self.start, self.size = path, words, filters, start, size
+        self.total, self.rest, self.lambdas = total, rest, np.zeros(CLASSES)
 
     def get(self) -> Model:
-        return Model(self.arrays.value if self.path is None else {k: _load(self.path, f"{k}.npy") for k in self.names}, self.total, *self.rest, self.lambdas)
+        words = [(_load(self.path, f"{x}.keys", np.uint64), _load(self.path, f"{x}.data", np.uint64)) for _, x in self.words]
+        filters = [(k, _load(self.path, f"{x}.data", np.uint8)) for k, x in self.filters]
+        return Model(words, filters, self.start, self.size, self.total, *self.rest, self.lambdas)
+
 
+def train(docs: DataFrame, text: str = "text", least: int = 1, base: float = 1.5, bits_per_key: int = 10, broadcast_bytes: int = 512 << 20, part_bytes: int = 32 << 20) -> _Held:
+    """A model of all ``docs``, with lambdas of zero, in files of about ``part_bytes``.
 
-def train(docs: DataFrame, text: str = "text", least: int = 1, base: float = 1.5, bits_per_key: int = 10, broadcast_bytes: int = 512 << 20) -> _Held:
-    """A model of all ``docs``, with lambdas of zero."""
+    ``broadcast_bytes`` is taken from callers as before and has no effect: nothing is broadcast.
+    """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) + F.count(F.lit(1))).first()[0]
     key_bits = min(64, max(32, int(size).bit_length() + 14))  # pairs: a false join in 16,000 at most
     n_words, n_pairs = buckets_for(size // 32), buckets_for(size // 6)
@@ -229,19 +251,13 @@ def train(docs: DataFrame, text: str = "text", least: int = 1, base: float = 1.5
             start[r["bucket"]], size_of[r["bucket"]] = at, r["bits"]
             at += r["bits"]
 
-    def column(kind: int, name: str, read):
-        # the driver is sent about 32 MB at once
-        rows = made.where(F.col("kind") == kind).select("bucket", name).repartitionByRange(1 + (length[kind] * (8 if kind == 0 else 1) >> 25), "bucket").sortWithinPartitions("bucket")
-        return lambda: (read(bytes(r[1])) for r in rows.toLocalIterator())
-
-    parts = {
-        "words": (column(0, "keys", unpack_keys), np.uint64, length[0]),
-        "counts": (column(0, "data", lambda b: unpack(b, np.uint64)), np.uint64, length[0]),
-        "start": (lambda: [start], np.int64, n_pairs),
-        "size": (lambda: [size_of], np.int64, n_pairs),
-        "filter": (column(1, "data", lambda b: np.frombuffer(b, np.uint8)), np.uint8, length[1]),
-    }
-    return _Held(docs.sparkSession.sparkContext, parts, total, (least, base, key_bits), scratch(docs.sparkSession, "lm"), broadcast_bytes)
+    path = scratch(docs.sparkSession, "lm")
+    words = _save(made.where("kind = 0"), {"keys": unpack_keys, "data": lambda b: unpack(b, np.uint64)}, path, 1 + length[0] * 16 // part_bytes)
+    filters = _save(made.where("kind = 1"), {"data": lambda b: np.frombuffer(b, np.uint8)}, path, 1 + length[1] // part_bytes)
+    for k, (first, _) in enumerate(filters):  # places within each file
+        end = filters[k + 1][0] if k + 1 < len(filters) else n_pairs
+        start[first:end] -= start[first]
+    return _Held(path, words, filters, start, size_of, total, (least, base, key_bits))
 
 
 def fit_lambdas(docs: DataFrame, held: _Held, text: str) -> np.ndarray:
