@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -162,6 +164,41 @@ def test_viterbi_is_exact():
         assert cost(got.tolist()) == pytest.approx(max(map(cost, itertools.product(range(3), repeat=n))), abs=1e-4)
 
 
+def language_worker(spark, monkeypatch):
+    """What a Python worker runs over its Arrow batches, with a model of two languages."""
+    rng = random.Random(5)
+    en, de = "the and of to in is that it for was".split(), "der und die zu in ist das es für war".split()
+    make = lambda v, n: " ".join(rng.choices(v, k=n))
+    model = language_id.fit(spark.createDataFrame([(i, make([en, de][i % 2], 30), ["en", "de"][i % 2]) for i in range(100)], "doc_id bigint, text string, lang string"))
+    docs = frame(spark, ["x"])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: f)
+    texts = [*ODD, "日本語" * 300, make(en, 400) + " " + make(de, 300) + " " + "ü" * 700, *[make(rng.choice([en, de]), rng.randrange(60)) for _ in range(40)]]
+    batch = lambda texts: pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())})
+    return language_id.identify(docs, model), lambda n: make(en, n), batch, texts
+
+
+def test_language_worker_memory_does_not_follow_the_batch(spark, monkeypatch):
+    work, make, batch, _ = language_worker(spark, monkeypatch)
+    for rows in (batch([make(300) for _ in range(12_000)]), batch(["w" * (12 << 20)])):  # 12 MB of texts, and of one word
+        tracemalloc.start()
+        got = sum(b.num_rows for b in work(iter([rows])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got == rows.num_rows and peak < 160 << 20
+
+
+def test_languages_are_the_same_in_any_pieces(spark, monkeypatch):
+    work, _, batch, texts = language_worker(spark, monkeypatch)
+    rows = lambda: [r for b in work(iter([batch(texts), batch(texts[::-1])])) for r in b.to_pylist()]
+    whole = rows()
+    assert [r["text"] for r in whole] == texts + texts[::-1] and {r["lang_pred"] for r in whole} == {"und", "en", "de"}
+    for piece, room in ((64, 1), (1000, 40_000), (1 << 18, 1)):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        monkeypatch.setattr(language_id, "ROOM", room)
+        for r, w in zip(rows(), whole, strict=True):
+            assert (r["doc_id"], r["lang_pred"], r["spans"]) == (w["doc_id"], w["lang_pred"], w["spans"]) and r["score"] == pytest.approx(w["score"])
+
+
 # ---------------------------------------------------------------- 6
 
 

@@ -9,6 +9,10 @@ score is that share.
 The model is a table of fixed size, fitted on at most about ``docs_per_lang`` labelled documents of
 each language, drawn by a hash.
 
+A worker's memory does not follow the size of its Arrow batches: n-grams are made for ``PIECE`` bytes
+at a time, within a long text or word too, and Viterbi runs over rows side by side until the tables of
+their words fill ``ROOM``. The words of one text are held together, however many they are.
+
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text when
 nothing could be learnt; words in a script of no learnt language are neutral, and a text of them
 alone gets the commonest language with score 0; repeated rows are alike; an input column named like
@@ -17,6 +21,8 @@ a computed one is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,6 +34,8 @@ from ._shared import U64, blocks, fresh, prefix_hash, span_hash, word_spans
 OUT = ("lang_pred", "score", "spans")
 SLOTS = 1 << 16
 SIZES = (2, 3, 4)
+PIECE = 1 << 18
+ROOM = 64 << 20
 
 # First code point of each script range, in order (Unicode blocks).
 RANGES = [
@@ -59,24 +67,34 @@ def _scripts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return _SCRIPT[np.maximum(np.searchsorted(_STARTS, cp, "right") - 1, 0)]
 
 
-def _grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word; slot and word of each of its n-grams, edges as spaces."""
-    s, e, row = word_spans(data, offs, _LETTERS)
-    if not len(s):
-        return s, e, row, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    padded = np.full(int((e - s).sum() + 2 * len(s)), 32, np.uint8)
+def _runs(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of words of at most ``PIECE`` bytes together, or of one word."""
+    end, at = np.cumsum(size), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(end, end[at] - size[at] + PIECE, "right")))
+        yield at, to
+        at = to
+
+
+def _grams(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slot and word of each n-gram of the words [s, e), edges as spaces, for ``PIECE`` bytes at a time."""
     size = e - s + 2
-    first = np.cumsum(size) - size
-    word = np.repeat(np.arange(len(s)), size)
-    inner = np.arange(len(padded)) - first[word]
-    keep = (inner > 0) & (inner < size[word] - 1)
-    padded[keep] = data[(s[word] + inner - 1)[keep]]
-    prefix, slots, owner = prefix_hash(padded), [], []
-    for n in SIZES:
-        at = np.flatnonzero(inner + n <= size[word])
-        slots.append((span_hash(prefix, at, at + n) & U64(SLOTS - 1)).astype(np.int64))
-        owner.append(word[at])
-    return s, e, row, np.concatenate(slots), np.concatenate(owner)
+    last = np.cumsum(size)
+    first, total = last - size, int(last[-1])
+    for at in range(0, total, PIECE):
+        to, end = min(at + PIECE, total), min(at + PIECE + SIZES[-1] - 1, total)  # n-grams that begin before ``to``
+        word = np.repeat(np.arange(len(s)), np.clip(last, at, end) - np.clip(first, at, end))
+        inner, left = np.arange(at, end) - first[word], size[word]
+        left -= inner
+        padded = np.full(end - at, 32, np.uint8)
+        keep = (inner > 0) & (left > 1)
+        padded[keep] = data[(s[word] + inner - 1)[keep]]
+        prefix, slots, owner = prefix_hash(padded), [], []
+        for n in SIZES:
+            here = np.flatnonzero(left[: to - at] >= n)
+            slots.append((span_hash(prefix, here, here + n) & U64(SLOTS - 1)).astype(np.int64))
+            owner.append(word[here])
+        yield np.concatenate(slots), np.concatenate(owner)
 
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", row_id: str = "doc_id", docs_per_lang: int = 1500) -> dict:
@@ -91,12 +109,14 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", row_id: str = "
 
     def count(batches):
         slot_n, script_n = np.zeros((len(langs), SLOTS), np.int64), np.zeros((len(langs), len(SCRIPTS)), np.int64)
-        for batch, _, _ in blocks(batches, "text"):
+        for batch, _, _ in blocks(batches, "text", PIECE):
             of = np.array([langs.index(x) for x in batch.column("lang").to_pylist()])
             data, offs = _lowered(batch.column("text").to_pylist())
-            s, _, row, slots, owner = _grams(data, offs)
-            np.add.at(slot_n, (of[row[owner]], slots), 1)
-            np.add.at(script_n, (of[row], _scripts(data, s)), 1)
+            s, e, row = word_spans(data, offs, _LETTERS)
+            for x, y in _runs(e - s + 2):
+                for slots, owner in _grams(data, s[x:y], e[x:y]):
+                    np.add.at(slot_n, (of[row[x:y][owner]], slots), 1)
+                np.add.at(script_n, (of[row[x:y]], _scripts(data, s[x:y])), 1)
         both = np.concatenate([slot_n, script_n], axis=1)
         i, j = np.nonzero(both)
         yield pa.RecordBatch.from_pydict({"i": i, "j": j, "n": both[i, j]})
@@ -112,18 +132,21 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", row_id: str = "
 
 def word_scores(model: dict, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log posterior of each language for each word, its bytes and its row."""
-    s, e, row, slots, owner = _grams(data, offs)
-    n, k = len(s), len(model["langs"])
-    out = np.zeros((n, k), np.float32)
-    if n:
-        of = np.bincount(owner, minlength=n)
-        for j in range(k):
-            out[:, j] = np.bincount(owner, model["logp"][slots, j], n) / np.maximum(of, 1) * (e - s + 1)
-        may = model["candidates"][_scripts(data, s)]
-        out = np.where(may, out, -np.inf)
-        out[~may.any(axis=1)] = 0
-        out -= out.max(axis=1, keepdims=True)
-        out = np.maximum(out, -12).astype(np.float32)
+    s, e, row = word_spans(data, offs, _LETTERS)
+    k = len(model["langs"])
+    out = np.zeros((len(s), k), np.float32)
+    for x, y in _runs(e - s + 2):
+        total, of = np.zeros((y - x, k)), np.zeros(y - x, np.int64)
+        for slots, owner in _grams(data, s[x:y], e[x:y]):
+            of += np.bincount(owner, minlength=y - x)
+            for j in range(k):
+                total[:, j] += np.bincount(owner, model["logp"][slots, j], y - x)
+        own = (total / np.maximum(of, 1)[:, None] * (e - s + 1)[x:y, None]).astype(np.float32)
+        may = model["candidates"][_scripts(data, s[x:y])]
+        own = np.where(may, own, -np.inf)
+        own[~may.any(axis=1)] = 0
+        own -= own.max(axis=1, keepdims=True)
+        out[x:y] = np.maximum(own, -12)
     return out, e - s, row
 
 
@@ -133,7 +156,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, length: np.ndarray, penalty:
     first, length = first[order], length[order]
     n, k = scores.shape
     came = np.empty((n, k), np.uint8 if k < 256 else np.uint16)
-    label = np.zeros(n, np.int64)
+    label = np.zeros(n, came.dtype)
     longest = int(length[0]) if len(length) else 0
     active = np.searchsorted(-length, -np.arange(longest), "left")  # documents longer than t
     v = np.zeros((len(first), k), np.float32)
@@ -168,40 +191,51 @@ def identify(docs: DataFrame, model: dict, text: str = "text", penalty: float =
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     span = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))
 
+    def added(batch, pred, score, spans):
+        cols = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)]
+        return pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *OUT])
+
+    def read(part, m):
+        """Scores and weight of each word; words of each row, and whether it has a letter."""
+        texts = pc.fill_null(part.column(text), "").to_pylist()
+        scores, size, row = word_scores(m, *_lowered(texts))
+        sure = (scores.min(axis=1) < 0) | (len(m["langs"]) == 1)
+        length = np.bincount(row, minlength=len(texts))
+        # beyond ASCII a word may be of marks or digits alone
+        lettered = np.array([bool(c) and any(map(str.isalpha, t)) for c, t in zip(length, texts, strict=True)], bool)
+        return scores, np.where(sure, size, 0).astype(np.int32), length, lettered
+
+    def settled(batch, parts, m):
+        scores, size, length, lettered = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        langs, k, n = m["langs"], len(m["langs"]), batch.num_rows
+        first = np.cumsum(length) - length
+        full = np.flatnonzero(length)
+        label = viterbi(scores, first[full], length[full], penalty)
+        row = np.repeat(np.arange(n), length)
+        weight = np.bincount(row * k + label, size, n * k).reshape(n, k)
+        total = weight.sum(axis=1)
+        best = np.where(total > 0, weight.argmax(axis=1), m["common"])
+        score = np.where(lettered & (total > 0), weight.max(axis=1) / np.maximum(total, 1), 0.0)
+        spans = [[] for _ in range(n)]
+        cut = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (row[1:] != row[:-1])]) if with_spans and len(label) else []
+        for x, y in zip(cut, [*cut[1:], len(label)], strict=True) if len(cut) else []:
+            spans[row[x]].append({"first": int(x - first[row[x]]), "words": int(y - x), "lang": langs[label[x]]})
+        return added(batch, [langs[b] if has else "und" for b, has in zip(best, lettered, strict=True)], score, spans)
+
     def work(batches):
         m = held.value
-        langs, k = m["langs"], len(m["langs"])
-        for batch, _, offs0 in blocks(batches, text, 16 << 20):
-            n = batch.num_rows
-            texts = pc.fill_null(batch.column(text), "").to_pylist()
-            pred, score, spans = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
-            if k:
-                parts, at = [], 0
-                while at < n:  # n-grams of a few megabytes at a time
-                    to = max(at + 1, int(np.searchsorted(offs0, offs0[at] + (4 << 20), "right")) - 1)
-                    s, size, row = word_scores(m, *_lowered(texts[at:to]))
-                    parts.append((s, size, row + at))
-                    at = to
-                scores, size, row = (np.concatenate(x) for x in zip(*parts, strict=True))
-                length = np.bincount(row, minlength=n)
-                first = np.cumsum(length) - length
-                full = np.flatnonzero(length)
-                label = viterbi(scores, first[full], length[full], penalty)
-                sure = (scores.min(axis=1) < 0) | (k == 1) if len(scores) else np.zeros(0, bool)
-                weight = np.bincount(row * k + label, np.where(sure, size, 0), n * k).reshape(n, k)
-                total = weight.sum(axis=1)
-                best = np.where(total > 0, weight.argmax(axis=1), m["common"])
-                score = np.where(total > 0, weight.max(axis=1) / np.maximum(total, 1), 0.0)
-                cut = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (row[1:] != row[:-1])]) if with_spans and len(label) else []
-                for x, y in zip(cut, [*cut[1:], len(label)], strict=True) if len(cut) else []:
-                    spans[row[x]].append({"first": int(x - first[row[x]]), "words": int(y - x), "lang": langs[label[x]]})
-                for i in range(n):
-                    # beyond ASCII a word may be of marks or digits alone
-                    if length[i] and (total[i] > 0 or length[i]) and any(map(str.isalpha, texts[i])):
-                        pred[i] = langs[best[i]]
-                    else:
-                        score[i] = 0.0
-            cols = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *OUT])
+        k = len(m["langs"])
+        for batch in batches:
+            if not k:
+                yield added(batch, ["und"] * batch.num_rows, np.zeros(batch.num_rows), [[]] * batch.num_rows)
+                continue
+            at, to, words, parts = 0, 0, 0, []
+            for part, _, _ in blocks(iter([batch]), text, PIECE):
+                parts.append(read(part, m))
+                to, words = to + part.num_rows, words + len(parts[-1][1])
+                if words * (8 * k + 24) >= ROOM or to == batch.num_rows:
+                    yield settled(batch.slice(at, to - at), parts, m)
+                    at, words = to, 0
 
     return docs.mapInArrow(work, f"{schema}, lang_pred string, score double, spans array<struct<first: bigint, words: bigint, lang: string>>")
