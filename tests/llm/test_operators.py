@@ -486,6 +486,46 @@ def test_deduplicate_links_fingerprints_first(spark, monkeypatch):
     assert 0 < near < 12 and compared == [(near, near), (12 - near, 12 - near), (0, 0)]
 
 
+def test_links_start_no_python_workers(spark):
+    """Rows from Python, even none, need a family of workers of their own in each executor."""
+    assert "LogicalRDD" not in simhash.links(spark.range(9).withColumnRenamed("id", "fp"), 2)._jdf.queryExecution().analyzed().toString()
+
+
+def test_deduplicate_workers_hold_little(spark, monkeypatch):
+    rng = random.Random(16)
+    docs, mapped, batches = frame(spark, [words(rng, 300) for _ in range(40)]), {}, []
+    key, plain, stage = "spark.sql.execution.arrow.maxBytesPerBatch", type(docs).mapInArrow, simhash.staged
+
+    def noted(self, f, schema):
+        mapped[schema.split(",")[0]] = f
+        return plain(self, f, schema)
+
+    def staged(df, name):
+        batches.append(spark.conf.get(key))
+        return stage(df, name)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", noted)
+    monkeypatch.setattr(simhash, "staged", staged)
+    before = spark.conf.get(key, None)
+    assert simhash.deduplicate(docs).count() == 40
+    assert set(batches) == {str(1 << 20)} and spark.conf.get(key, None) == before
+
+    def peak(work, rows):
+        tracemalloc.start()
+        got = sum(b.num_rows for b in work(iter(rows)))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got
+        return most
+
+    texts = pa.array([words(rng, 300, 99_999) for _ in range(1500)], pa.string())  # 3 MB
+    n = pa.array(range(len(texts)), pa.int64())
+    assert peak(mapped["`doc_id` bigint"], [pa.RecordBatch.from_pydict({"doc_id": n, "text": texts, "__tw_0": n, "__tw_1": n})]) < 40 << 20
+    one = pa.binary()
+    slices = [pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int32()), "t": pa.array([0], pa.int32()), "k": pa.array([simhash.pack_keys(np.array([p << 18], np.uint64))], one), "n": pa.array([simhash.pack(np.ones(1, np.uint32))], one)}) for p in range(64)]
+    assert peak(mapped["p int"], slices) < 16 << 20  # all slices of the counts in one task
+
+
 # ---------------------------------------------------------------- 10
 
 

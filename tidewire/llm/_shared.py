@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,31 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             at = to
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, max_bytes: int = 1 << 20) -> Iterator[None]:
+    """Within it, Spark sends Arrow batches of about ``max_bytes`` at most; by rows alone a task's whole input is one, in the JVM and in its worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, max_bytes)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def trimmed(work: Callable) -> Callable:
+    """``work`` over batches, after which its memory goes back to the system: a worker that waits for its next task keeps it else."""
+
+    def run(batches):
+        yield from work(batches)
+        _pow[:] = [np.ones(1, U64), np.ones(1, U64)]
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of words between white space: all but space and \x09-\x0D.

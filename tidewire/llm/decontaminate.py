@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-The documents are cut into shards of a few megabytes. A shard's words become numbers of the
+The documents are cut into shards of about a megabyte. A shard's words become numbers of the
 benchmark's vocabulary (0 for any other word, which no test suffix can pass), its suffix array is
 sorted as deep as the longest test item, and every test suffix is searched in it by bisection: the
 interval of suffixes that begin with the suffix's first ``window`` words gives all places, and runs
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ALNUM, LOWER, U64, blocks, fresh, prefix_hash, span_hash, word_spans
+from ._shared import ALNUM, LOWER, U64, blocks, fresh, prefix_hash, span_hash, trimmed, word_spans
 
 OUT = ("n_words", "n_hit", "n_items", "items", "spans", "matches")
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("len", pa.int64())]))
@@ -198,7 +198,7 @@ def _test_blocks(benchmark: DataFrame, window: int, block_bytes: int):
     yield TestSuffixes(ids, texts, window)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, window: int = 8, shard_bytes: int = 4 << 20, block_bytes: int = 4 << 20) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, window: int = 8, shard_bytes: int = 1 << 20, block_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` with n_words, n_hit (words in hit windows), items (sorted ids), n_items, spans and matches.
 
     ``spans`` are merged runs of hit words; ``matches`` have each longest verbatim match of
@@ -219,7 +219,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 8, shard_bytes:
                 cols = batch.columns[:-3] + [pa.array(count, pa.int64()), pa.array(spans, _SPAN), pa.array([a + b for a, b in zip(old_m, matches, strict=True)], _MATCH)]
                 yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-        out = out.mapInArrow(find, f"{schema}, {FIELDS}")
+        out = out.mapInArrow(trimmed(find), f"{schema}, {FIELDS}")
     zero = F.lit(0).cast("long")
     out = out.withColumn("items", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))))
     return out.withColumns({"n_hit": F.aggregate("spans", zero, lambda a, x: a + x["len"]), "n_items": F.size("items").cast("long")})

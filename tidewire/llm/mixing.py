@@ -26,6 +26,7 @@ import math
 from array import array
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,7 +121,8 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, block_
     scale = sum(parts.values()) or 1
     plan = schedule({s: -(-n // block_bytes) for s, n in totals.items()}, parts)
     steps = [(s, k, at[k * CHUNK : (k + 1) * CHUNK].tolist(), parts[s] / scale) for s, at in plan.items() for k in range(-(-len(at) // CHUNK))]
-    table = spark.createDataFrame(steps, "s string, chunk bigint, at array<bigint>, w double")
+    schema = pa.schema([("s", pa.string()), ("chunk", pa.int64()), ("at", pa.list_(pa.int64())), ("w", pa.float64())])
+    table = spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, x, strict=True)) for x in steps], schema))  # Python rows would start a second family of workers
     in_bucket = "PARTITION BY __tw_source, __tw_bucket ORDER BY __tw_hash ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     placed = sized.withColumn("__tw_bucket", bucket).withColumn("__tw_in", F.expr(f"sum(__tw_size) OVER ({in_bucket}) - __tw_size"))
     placed = placed.join(bases, F.col("__tw_source").eqNullSafe(F.col("s")) & (F.col("__tw_bucket") == F.col("b"))).withColumn("__tw_byte", F.col("base") + F.col("__tw_in")).drop("s", "b", "base")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._runs import pack, pack_keys, pieces, unpack, unpack_keys
-from ._shared import LOWER, SPACED, U64, blocks, fresh, mix, prefix_hash, span_hash, staged, word_spans
+from ._shared import LOWER, SPACED, U64, arrow_batches, blocks, fresh, mix, prefix_hash, span_hash, staged, trimmed, word_spans
 
 
 def _fingerprints(data: np.ndarray, offs: np.ndarray, width: int, seed: int = 42) -> np.ndarray:
@@ -200,7 +200,7 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = 512, grouping: tuple[
     Every pair within the distance is linked directly, or through others within it of both.
     """
     groups, ts = grouping or plan(fps, distance)
-    out = fps.sparkSession.createDataFrame([], "a bigint, b bigint")
+    out = fps.sparkSession.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))  # rows from Python would start a second family of workers
     for g, t in zip(groups, ts, strict=True):
         if t < 0:
             continue
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, text: st
 
 
 #: Bytes of text that a worker of ``deduplicate`` works on at once: what it takes of memory is some 80 times that.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def _shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -306,9 +306,9 @@ BITS = [f"p{i}" for i in range(8)]
 def _levels(docs: DataFrame, width: int, text: str, bits: int = 24, slices: int = 64) -> np.ndarray:
     """How often shingles of each of 2**bits buckets occur, in eighths of a doubling: what orders shingles, rare ones first.
 
-    Any order of shingles is right, so buckets that shingles share cost candidates, never links. Each block
-    sends its buckets in packed slices; slices are added up for every 256 tasks, then over all: the size of
-    the result is fixed.
+    Any order of shingles is right, so buckets that shingles share cost candidates, never links. A task
+    sends the buckets of about half a million shingles at a time in packed slices; slices are added up for every
+    256 tasks, then over all, one slice after the other: the size of the result is fixed, and so is a worker's memory.
     """
     low = (1 << bits) // slices
 
@@ -317,34 +317,42 @@ def _levels(docs: DataFrame, width: int, text: str, bits: int = 24, slices: int
 
     def count(batches):
         t = TaskContext.get().partitionId() >> 8
-        for _, data, offs in blocks(batches, text, 2 * BLOCK):
-            at, n = np.unique(_bucket(_shingle_sets(data, offs, width)[0], bits), return_counts=True)
-            got = list(pieces(at, n, bits, slices))
-            if got:
-                p, k, c = zip(*got, strict=True)
+        held, n_held = [], 0
+        for _, data, offs in itertools.chain(blocks(batches, text, BLOCK), [(None, None, None)]):
+            if data is not None:
+                held.append(_bucket(_shingle_sets(data, offs, width)[0], bits).astype(np.uint32))
+                n_held += len(held[-1])
+            if n_held and (data is None or n_held >= 1 << 19):
+                at, n = np.unique(np.concatenate(held), return_counts=True)
+                held, n_held = [], 0
+                p, k, c = zip(*pieces(at.astype(np.uint64), n, bits, slices), strict=True)
                 yield rows(p, [t] * len(p), k, c)
 
     def summed(batches):
-        sums: dict[int, np.ndarray] = {}
+        slice_, sums = None, np.zeros(0, np.int64)
         for batch in batches:
             for p, k, n in zip(*(batch.column(c).to_pylist() for c in ("p", "k", "n")), strict=True):
-                at, n = unpack_keys(k).astype(np.int64) - p * low, unpack(n, np.uint32)
-                sums.setdefault(p, np.zeros(low, np.int64))[at] += n
-        return sums
+                if p != slice_:
+                    if slice_ is not None:
+                        yield slice_, sums
+                    slice_, sums = p, np.zeros(low, np.int64)
+                sums[unpack_keys(k).astype(np.int64) - p * low] += unpack(n, np.uint32)
+        if slice_ is not None:
+            yield slice_, sums
 
     def add(batches):
-        for p, a in summed(batches).items():
+        for p, a in summed(batches):
             at = np.flatnonzero(a)
             yield rows([p], [0], [pack_keys((at + p * low).astype(np.uint64))], [pack(np.minimum(a[at], (1 << 32) - 1).astype(np.uint32))])
 
     def level(batches):
-        for p, a in summed(batches).items():
+        for p, a in summed(batches):
             steps = np.minimum(np.rint(8 * np.log2(1 + a)), 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([steps.tobytes()], pa.binary())], names=["p", "x"])
 
     schema = "p int, t int, k binary, n binary"
-    parts = docs.select(text).mapInArrow(count, schema).repartition("p", "t").mapInArrow(add, schema)
-    got = parts.repartition("p").mapInArrow(level, "p int, x binary").toArrow()
+    parts = docs.select(text).mapInArrow(trimmed(count), schema).repartition("p", "t").sortWithinPartitions("p").mapInArrow(trimmed(add), schema)
+    got = parts.repartition("p").sortWithinPartitions("p").mapInArrow(trimmed(level), "p int, x binary").toArrow()
     out = np.zeros((slices, low), np.uint8)
     for p, x in zip(got.column("p").to_pylist(), got.column("x").to_pylist(), strict=True):
         out[p] = np.frombuffer(x, np.uint8)
@@ -376,7 +384,7 @@ def _prefixes(docs: DataFrame, width: int, similarity: float, text: str) -> Data
             take = order[m]
             yield pa.RecordBatch.from_pydict({"k": h[take].view(np.int64), "s": keys[doc[take]], "n": size[doc[take]], "i": place[m].astype(np.int32)})
 
-    return docs.select(text).mapInArrow(work, "k bigint, s bigint, n bigint, i int")
+    return docs.select(text).mapInArrow(trimmed(work), "k bigint, s bigint, n bigint, i int")
 
 
 #: Bytes that a shingle's hash takes when sets are compared.
@@ -423,7 +431,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, width: int, s
                 for to in batch.column("to")[i].as_py():
                     out.append((to["a"], to["part"], s, x))
                     size += len(x)
-                    if size > 8 << 20:
+                    if size > 1 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
                         out, size = [], 0
             if out:
@@ -444,9 +452,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, width: int, s
                     alike.append((a[i], s[i]))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in alike], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    sent = docs.join(wanted, ["__tw_0", "__tw_1"]).select(text, "s", "to").mapInArrow(send, schema)
+    sent = docs.join(wanted, ["__tw_0", "__tw_1"]).select(text, "s", "to").mapInArrow(trimmed(send), schema)
     met = sent.repartition("a", "part").sortWithinPartitions("a", "part", (F.col("s") != F.col("a")).cast("int"), "s")
-    return staged(met.mapInArrow(compare, "a bigint, b bigint").distinct(), "similar")
+    return staged(met.mapInArrow(trimmed(compare), "a bigint, b bigint").distinct(), "similar")
 
 
 def close_sets(marks: DataFrame, distance: int, bucket: int = 512) -> DataFrame:
@@ -521,13 +529,14 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
             more = [_fingerprints(data, offs, width).view(np.int64), _set_keys(h, at), np.diff(at), *np.ascontiguousarray(_parities(h, at).T)]
             yield pa.RecordBatch.from_arrays([batch.column(row_id), *(batch.column(n) for n in names), *map(pa.array, more)], names=[row_id, *names, "fp", "s", "n", *BITS])
 
-    rows = only.mapInArrow(keys, f"`{row_id}` {only.schema[row_id].dataType.simpleString()}, __tw_0 bigint, __tw_1 bigint, fp bigint, s bigint, n bigint, " + ", ".join(f"{p} bigint" for p in BITS))
+    rows = only.mapInArrow(trimmed(keys), f"`{row_id}` {only.schema[row_id].dataType.simpleString()}, __tw_0 bigint, __tw_1 bigint, fp bigint, s bigint, n bigint, " + ", ".join(f"{p} bigint" for p in BITS))
     first = F.min(F.struct(F.col(row_id).isNull().alias("none"), F.col(row_id).alias("id"), F.col("__tw_0").alias("r0"), F.col("__tw_1").alias("r1")))
     most = [F.max(c).alias(c) for c in ("n", *BITS)]
-    marks = staged(rows.groupBy("s", "fp").agg(first.alias("m"), *most), "marks")
-    least = staged(marks.groupBy("s").agg(F.min("m").alias("m"), *most), "least")
-    roots = similar_sets(only, least, close_sets(marks, distance), width, similarity, text)
-    of = least.join(roots, F.col("s") == F.col("node"), "left").select("m", F.coalesce("root", "s").alias("root"))
-    kept = staged(of.groupBy("root").agg(F.min("m").alias("m")).select(F.col("m.r0").alias("__tw_0"), F.col("m.r1").alias("__tw_1")), "kept")
+    with arrow_batches(docs.sparkSession):
+        marks = staged(rows.groupBy("s", "fp").agg(first.alias("m"), *most), "marks")
+        least = staged(marks.groupBy("s").agg(F.min("m").alias("m"), *most), "least")
+        roots = similar_sets(only, least, close_sets(marks, distance), width, similarity, text)
+        of = least.join(roots, F.col("s") == F.col("node"), "left").select("m", F.coalesce("root", "s").alias("root"))
+        kept = staged(of.groupBy("root").agg(F.min("m").alias("m")).select(F.col("m.r0").alias("__tw_0"), F.col("m.r1").alias("__tw_1")), "kept")
     # the join and what follows it are dealt by the same two columns: texts move once
     return hashed.join(kept, list(names), "left_semi").dropDuplicates(list(names)).drop(*names)
