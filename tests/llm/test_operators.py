@@ -491,6 +491,16 @@ def test_links_start_no_python_workers(spark):
     assert "LogicalRDD" not in simhash.links(spark.range(9).withColumnRenamed("id", "fp"), 2)._jdf.queryExecution().analyzed().toString()
 
 
+def test_links_plan_hot_values_only_where_there_are_any(spark, monkeypatch):
+    planned, hot_links = [], simhash._hot_links
+    monkeypatch.setattr(simhash, "_hot_links", lambda *a: planned.append(a) or hot_links(*a))
+    fps = spark.range(40).withColumnRenamed("id", "fp")
+    grouping = ([list(range(32)), list(range(32, 64))], [1, 0])  # all agree in the second part
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if (a ^ b).bit_count() <= 2}
+    assert set(map(tuple, simhash.links(fps, 2, 64, grouping).collect())) == want and not planned
+    assert set(map(tuple, simhash.links(fps, 2, 16, grouping).collect())) <= want and len(planned) == 1
+
+
 def test_deduplicate_workers_hold_little(spark, monkeypatch):
     rng = random.Random(16)
     docs, mapped, batches = frame(spark, [words(rng, 300) for _ in range(40)]), {}, []

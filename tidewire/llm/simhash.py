@@ -209,13 +209,14 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = 512, grouping: tuple[
         flips = [_signed(sum(1 << b for b in c)) for k in range(t + 1) for c in itertools.combinations(g, k)]
         own = fps.select("fp", part.alias("v"))
         sizes = own.groupBy("v").count()
-        hot = sizes.where(F.col("count") > bucket).select("v")
+        hot = staged(sizes.where(F.col("count") > bucket).select("v"), "hot")
         cool = own.join(sizes.where((F.col("count") > (1 if t == 0 else 0)) & (F.col("count") <= bucket)).select("v"), "v", "left_semi")
         probes = own if t == 0 else own.select("fp", F.explode(F.array(*[F.col("v").bitwiseXOR(F.lit(x)) for x in flips])).alias("v"))
         near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance
         pairs = probes.alias("x").join(cool.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.fp") != F.col("y.fp")) & near)
         out = out.unionByName(pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")))
-        out = out.unionByName(_hot_links(own, hot, g, t, distance))
+        if not hot.isEmpty():  # these plans hold thousands of masks and some ten exchanges, which the driver pays for
+            out = out.unionByName(_hot_links(own, hot, g, t, distance))
     return out.distinct()
 
 
